@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from loomspan.llm import lookalikes, overlap
+from loomspan.llm import lookalikes, mixing, overlap, packing, tokens, truncation
 from loomspan.runtime import stage, table
 
 
@@ -42,5 +42,34 @@ def p5_counts(spark, d):
     return _forms(spark, d, False).groupBy("src_table", "src_field").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p2_report, p5_found, p5_forms, p5_counts)}
+def _sizes(spark, d):
+    return stage(tokens.token_sizes(table(spark, d, "documents")))
+
+
+def p6_packing(spark, d):
+    return packing.containers(_sizes(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p6_fill(spark, d):
+    specs = table(spark, d, "pack_capacities")
+    return packing.fill(packing.containers(_sizes(spark, d), specs), specs)
+
+
+def p7_draw(spark, d):
+    return mixing.draw(_sizes(spark, d), table(spark, d, "mixture_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return mixing.shares(*mixing.draw(_sizes(spark, d), table(spark, d, "mixture_targets")))
+
+
+def p8_found(spark, d):
+    return truncation.cut_texts(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p8_rates(spark, d):
+    return truncation.cut_rates(truncation.cut_texts(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p2_report, p5_found, p5_forms, p5_counts, p6_packing, p6_fill, p7_draw, p7_shares, p8_found, p8_rates)}
 ORACLES: dict[str, str] = {}
