@@ -32,11 +32,10 @@ def counters(jobs: DataFrame, as_of: float) -> DataFrame:
 
 def claim_order(jobs: DataFrame, as_of: float, limit: int) -> DataFrame:
     """Pending tickets that may be claimed now: in order, up to the first that isn't available yet."""
-    # the head of the queue is a global order: the first blocked ticket and then a top-k, no window
+    # the head of the queue: one number, then a top-k; no window over the whole queue
     pending = jobs.where("state = 'pending'")
-    blocked = pending.where(F.col("available_at") > as_of).agg(F.min("sequence").alias("stop"))
-    open_ = pending.join(F.broadcast(blocked), F.col("stop").isNull() | (F.col("sequence") < F.col("stop")))  # one row
-    return open_.orderBy("sequence").limit(limit).drop("stop")
+    stop = pending.where(F.col("available_at") > as_of).agg(F.min("sequence")).first()[0]
+    return (pending if stop is None else pending.where(F.col("sequence") < stop)).orderBy("sequence").limit(limit)
 
 
 def run_states(runs: DataFrame, run_jobs: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -151,12 +151,12 @@ def _policies(spark):
     return spark.createDataFrame(POLICIES, "space string, kind string, owner string, readers array<string>, writers array<string>")
 
 
-def p10_readable(spark, d):
+def proj10_readable(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("source", "space")
     return hub.readable(docs, _policies(spark), "ana").groupBy("space").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def p20_policy_problems(spark, d):
+def proj20_policy_problems(spark, d):
     spaces = table(spark, d, "documents").select(F.col("source").alias("space")).distinct()
     return hub.policy_problems(_policies(spark), spaces)
 
@@ -204,7 +204,7 @@ def a22_inversions(spark, d):
     return ranking.inversions(table(spark, d, "memory_events").select("source_type", "ingest_order", "created_at"), ["source_type"], F.col("ingest_order"), F.unix_micros(F.col("created_at").cast("timestamp")))
 
 
-QUERIES = {f.__name__: f for f in (a24_contradictions, w3_previous_fact, w4_latest_state, f17_changes, f17_durations, j13_two_hops, u4_reference_cycles, f14_day_numbers, f20_calendar_ages, f16_units, f18_distances, f37_scalar_math, a27_statistics, f38_expressions, d2_ticket_conflicts, k3_latest_jobs, a8_queue_counters, w16_claim_order, j9_run_states, j8_complete_runs, o10_recent_runs, a21_latencies, p10_readable, p20_policy_problems, d3_merged_spaces, d4_best_evidence, w9_budget, w10_prefix_budget, w11_stratified, w12_even_sample, w13_round_robin, w14_chunks, a22_inversions)}
+QUERIES = {f.__name__: f for f in (a24_contradictions, w3_previous_fact, w4_latest_state, f17_changes, f17_durations, j13_two_hops, u4_reference_cycles, f14_day_numbers, f20_calendar_ages, f16_units, f18_distances, f37_scalar_math, a27_statistics, f38_expressions, d2_ticket_conflicts, k3_latest_jobs, a8_queue_counters, w16_claim_order, j9_run_states, j8_complete_runs, o10_recent_runs, a21_latencies, proj10_readable, proj20_policy_problems, d3_merged_spaces, d4_best_evidence, w9_budget, w10_prefix_budget, w11_stratified, w12_even_sample, w13_round_robin, w14_chunks, a22_inversions)}
 
 FACTS = r"""
 stated AS (
@@ -317,9 +317,9 @@ SELECT o_orderkey,
 r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY s) AS rn, count(*) OVER (PARTITION BY state) AS n FROM s)
 SELECT state, max(n) AS n, round(quantile_cont(s, 0.95), 4) AS linear, round(max(s) FILTER (WHERE rn = greatest(1, ceil(0.95 * n))), 4) AS ceiling,
   round(max(s) FILTER (WHERE rn = round_even(0.95 * (n - 1), 0) + 1), 4) AS nearest, round(max(s) FILTER (WHERE rn = floor(0.95 * (n - 1)) + 1), 4) AS floor FROM r GROUP BY state""",
-    "p10_readable": f"""WITH {_POLICIES} SELECT source AS space, count(*) AS n_documents FROM documents JOIN policies ON source = space
+    "proj10_readable": f"""WITH {_POLICIES} SELECT source AS space, count(*) AS n_documents FROM documents JOIN policies ON source = space
 WHERE owner = 'ana' OR list_contains(readers, 'ana') OR list_contains(readers, '*') OR (kind = 'reference' AND len(readers) = 0) GROUP BY source""",
-    "p20_policy_problems": f"""WITH {_POLICIES}, spaces AS (SELECT DISTINCT source AS space FROM documents)
+    "proj20_policy_problems": f"""WITH {_POLICIES}, spaces AS (SELECT DISTINCT source AS space FROM documents)
 SELECT space, 'policy_without_space' AS problem FROM policies WHERE space NOT IN (SELECT space FROM spaces) UNION ALL SELECT space, 'space_without_policy' FROM spaces WHERE space NOT IN (SELECT space FROM policies)""",
     "d3_merged_spaces": "SELECT sha256(text) AS fingerprint, min((source, doc_id % 10))[1] AS space, min((source, doc_id % 10))[2] AS rank, max(n_chars)::double AS score, array_to_string(list_sort(list_distinct(list(source))), ',') AS origins FROM documents GROUP BY sha256(text)",
     "d4_best_evidence": """WITH i AS (SELECT subject_value AS key, concat_ws(' ', predicate_label, object_label) AS text, CASE WHEN confidence_level = 'statement-attributed' THEN 2 ELSE 1 END AS status_rank, epoch_us(created_at) AS position, [predicate_label, epistemic_status] AS tags FROM claims),
