@@ -12,13 +12,15 @@ What a carrier puts behind a cut (blanks, dots, closing quotes, a bracketed
 remark) is taken off first.  A bracket, quotation or JSON structure that is
 opened and never closed is unfinished without any model.
 
-Only contexts that end some text matter, so each task counts only those in a
-filter of FILTER_BITS bits and sends one row for each.
+Only contexts that end some text matter, and long ones only if they end two; each
+task counts those in a filter of FILTER_BITS bits and sends one row for each.
+Short contexts are few whatever the corpus, so what a task sends stays bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +34,10 @@ from loomspan.runtime import stage
 
 ORDERS = (0, 1, 2, 3, 4, 5, 6, 8, 11, 15)
 FILTER_BITS = 1 << 24
-#: Weight, in events, of the pooled distribution that smooths each order.
-SMOOTHING = 1.0
+#: From this place in ORDERS on, only contexts that end two texts or more are counted.
+LONG = 7
+#: Weight, in places, of the shorter context in the estimate of the longer; places that a longer one needs.
+SMOOTHING, FREQUENT = 10.0, 8
 #: Longer texts that are equal count once; short remarks may recur.
 SHORT = 80
 SALTS = 16
@@ -85,7 +89,8 @@ def units_of(text: str) -> tuple[list[tuple[str, str]], bool]:
     kept = strip_carrier(text)
     units = [(line_shape(line), strip_carrier(line)) for line in kept.split("\n") if line.strip()]
     last, said = text.rstrip().rsplit("\n", 1)[-1], kept.rsplit("\n", 1)[-1]
-    is_open = text.count("«") > text.count("»") or last.count('"') % 2 == 1 and '="' in last or said.count("(") > said.count(")")
+    broken = "�" in text[len(kept) :]  # a character was cut in two
+    is_open = broken or text.count("«") > text.count("»") or last.count('"') % 2 == 1 and '="' in last or said.count("(") > said.count(")")
     return units or [("", "")], is_open
 
 
@@ -107,21 +112,19 @@ def _mixed(h: np.ndarray, shape: np.ndarray, order: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def context_keys(units: list[tuple[str, str]], only_last: bool):
-    """Yields (order, keys, is_end) over all places of the units, or over their ends only."""
+def final_keys(units: list[tuple[str, str]]) -> np.ndarray:
+    """The keys of each order of each unit's end, a row for each unit."""
     codes, ends, shapes = _codes(units)
-    at = ends if only_last else np.flatnonzero(np.bincount(ends, minlength=len(codes)).astype(bool) | (codes > 0))
-    is_end = np.zeros(len(codes), dtype=bool)
-    is_end[ends] = True
-    is_end, shapes = is_end[at], shapes[at]
-    h, power, done = np.zeros(len(at), dtype=np.uint64), np.uint64(1), 0
+    shapes = shapes[ends]
+    h, power, done, keys = np.zeros(len(ends), dtype=np.uint64), np.uint64(1), 0, []
     with np.errstate(over="ignore"):
         for order in ORDERS:
             for j in range(done, order):
-                h = h + (codes[at - j] + np.uint64(1)) * power
+                h = h + (codes[ends - j] + np.uint64(1)) * power
                 power = power * _BASE
             done = order
-            yield order, _mixed(h, shapes, order), is_end
+            keys.append(_mixed(h, shapes, order))
+    return np.stack(keys, axis=1).view(np.int64)
 
 
 def final_contexts(docs: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def final_contexts(docs: DataFrame) -> DataFrame:
                 continue
             parted = [units_of(t) for t in texts]
             last = [u[-1] for u, _ in parted]
-            keys = np.stack([k for _, k, _ in context_keys(last, only_last=True)], axis=1).view(np.int64)
+            keys = final_keys(last)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(ORDERS)), pa.array(keys.ravel()))
             digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             empty = [not u for _, u in last]
@@ -147,9 +150,15 @@ def final_contexts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, unfinished boolean, empty boolean, long boolean, digest binary, keys array<long>")
 
 
-def wanted_filter(contexts: DataFrame) -> bytes:
-    """Bits of all keys of final contexts; FILTER_BITS bits, whatever the corpus."""
-    word = contexts.select(F.explode("keys").alias("key")).selectExpr(f"cast(pmod(key, {FILTER_BITS}L) >> 6 AS int) AS word", "shiftleft(1L, cast(key & 63 AS int)) AS bits")
+def wanted_keys(contexts: DataFrame) -> DataFrame:
+    """key, place of the contexts to count: all short ones that end a text, and long ones that end two or more."""
+    keys = contexts.select(F.posexplode("keys").alias("place", "key")).groupBy("key", "place").agg(F.count(F.lit(1)).alias("n"))
+    return keys.where(f"place < {LONG} OR n > 1").select("key", "place")
+
+
+def wanted_filter(wanted: DataFrame) -> bytes:
+    """Bits of all wanted keys; FILTER_BITS bits, whatever the corpus."""
+    word = wanted.selectExpr(f"cast(pmod(key, {FILTER_BITS}L) >> 6 AS int) AS word", "shiftleft(1L, cast(key & 63 AS int)) AS bits")
     merged = word.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     table[merged.column("word").to_numpy()] = merged.column("bits").to_numpy()
@@ -197,12 +206,25 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
 
 
 def _select(units: list[tuple[str, str]], bits: np.ndarray, kept: list) -> int:
-    held = 0
-    for _, keys, is_end in context_keys(units, only_last=False):
-        place = keys & np.uint64(FILTER_BITS - 1)
-        inside = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        kept.append((keys[inside], is_end[inside]))
-        held += int(inside.sum())
+    """Adds the wanted contexts of the units; a place is followed to a longer context only if the shorter is wanted."""
+    codes, ends, shapes = _codes(units)
+    is_end = np.zeros(len(codes), dtype=bool)
+    is_end[ends] = True
+    at = np.flatnonzero(is_end | (codes > 0))
+    is_end, shapes = is_end[at], shapes[at]
+    h, power, done, held = np.zeros(len(at), dtype=np.uint64), np.uint64(1), 0, 0
+    with np.errstate(over="ignore"):
+        for order in ORDERS:
+            for j in range(done, order):
+                h = h + (codes[at - j] + np.uint64(1)) * power
+                power = power * _BASE
+            done = order
+            keys = _mixed(h, shapes, order)
+            place = keys & np.uint64(FILTER_BITS - 1)
+            inside = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            at, h, shapes, is_end = at[inside], h[inside], shapes[inside], is_end[inside]
+            kept.append((keys[inside], is_end))
+            held += len(inside)
     return held
 
 
@@ -213,46 +235,51 @@ def language(lang: Column) -> Column:
 
 
 def _log_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, log_odds from the counts of the contexts; a text that was counted (column own = 1) is taken out."""
+    """doc_id, log_odds from the counts (key, place, n_end, n_on); a text that was counted (column own = 1) is taken out."""
     # contexts of the lowest orders end many texts: their counts are repeated for SALTS groups of texts
     low = 4
     mine = contexts.select("doc_id", "own", F.posexplode("keys").alias("place", "key")).withColumn("salt", F.when(F.col("place") < low, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
-    asked = mine.groupBy("key").agg(F.min("place").alias("lowest")).join(counts, "key", "left").na.fill(0, ["n_end", "n_on"])
-    asked = asked.withColumn("salt", F.explode(F.when(F.col("lowest") < low, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    per_order = mine.join(asked.select("key", "salt", "n_end", "n_on"), ["key", "salt"])
+    asked = counts.withColumn("salt", F.explode(F.when(F.col("place") < low, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    per_order = mine.join(asked, ["key", "place", "salt"])
     steps = per_order.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.greatest(F.col("n_end") - F.col("own"), F.lit(0)).cast("double").alias("e"), F.col("n_on").cast("double").alias("o")))).alias("s"))
-    m = SMOOTHING
-    pooled = f"{m} * (s[i].e + s[i].o + 0.5) / (s[i - 1].e + s[i - 1].o + 1)"
-    return steps.selectExpr("doc_id", f"""
-      aggregate(sequence(1, size(s) - 1), cast(0 AS double), (acc, i) -> acc
-        + ln((s[i].e + {pooled}) / (s[i - 1].e + {m})) - ln((s[i].o + {pooled}) / (s[i - 1].o + {m}))) AS log_odds""")
+    # share of ends among the places of the two last characters, then of the longest context that is frequent enough:
+    # orders nest, so taking one of them counts each place once
+    m, base = SMOOTHING, "(s[0].e + 0.5D) / (s[0].e + s[0].o + 1)"
+    odds = steps.selectExpr("doc_id", f"{base} AS q0", f"(s[2].e + {m}D * {base}) / (s[2].e + s[2].o + {m}D) AS q2", f"element_at(filter(s, x -> x.place < 3 OR x.e >= 2 OR x.e + x.o >= {FREQUENT}), -1) AS x")
+    odds = odds.selectExpr("doc_id", "q0", f"CASE WHEN x.place < 3 THEN q2 ELSE (x.e + {m}D * q2) / (x.e + x.o + {m}D) END AS q")
+    return odds.selectExpr("doc_id", "ln(greatest(q, 1e-12D) / greatest(1 - q, 1e-12D)) - ln(q0 / (1 - q0)) AS log_odds")
 
 
 def end_log_odds(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, language, unfinished, empty and log_odds: log-likelihood of the final context under an end less that under a continuation.
 
     Two rounds: the second is trained without the texts that the first calls
-    more likely cut than whole, so that cut ends don't pass for ends.
+    more likely cut than whole, so that cut ends don't pass for ends.  Counts
+    add up, so only those texts are counted again and taken off.
     """
     contexts = stage(final_contexts(docs))
-    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(contexts))
+    wanted = stage(wanted_keys(contexts))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
     again = contexts.where("long").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    left_out = contexts.where("long").join(again, "digest").where("doc_id <> first").select("doc_id")
-    first = _log_odds(contexts.withColumn("own", F.lit(1)), context_counts(docs.join(left_out, "doc_id", "left_anti"), wanted))
+    left_out = stage(contexts.where("long").join(again, "digest").where("doc_id <> first").select("doc_id"))
+    counted = docs.join(left_out, "doc_id", "left_anti")
+    counts = stage(wanted.join(context_counts(counted, bits), "key", "left").na.fill(0, ["n_end", "n_on"]))
+    first = _log_odds(contexts.withColumn("own", F.lit(1)), counts)
     doubtful = stage(contexts.select("doc_id", "unfinished").join(first, "doc_id").where("unfinished OR log_odds < 0").select("doc_id", F.lit(0).alias("own")))
-    counted = docs.join(left_out.unionByName(doubtful.select("doc_id")).distinct(), "doc_id", "left_anti")
+    theirs = context_counts(counted.join(doubtful, "doc_id", "left_semi"), bits).withColumnsRenamed({"n_end": "less_end", "n_on": "less_on"})
+    rest = counts.join(theirs, "key", "left").select("key", "place", (F.col("n_end") - F.coalesce("less_end", F.lit(0))).alias("n_end"), (F.col("n_on") - F.coalesce("less_on", F.lit(0))).alias("n_on"))
     mine = contexts.join(doubtful, "doc_id", "left").na.fill(1, ["own"])
-    second = _log_odds(mine, context_counts(counted, wanted))
+    second = _log_odds(mine, rest)
     return contexts.select("doc_id", "lang", "source", language(F.col("lang")).alias("language"), "unfinished", "empty").join(second, "doc_id")
 
 
 def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
     """Threshold on the log-odds of each language, and one for all of them together.
 
-    Ends and cuts are two hills of the distribution; the threshold is the lowest
-    place of the valley between them, near zero.  It is read off a histogram of
-    a quarter's width; a language of fewer than MIN_TEXTS texts takes the common
-    threshold.
+    A text is cut if that is likelier than not, so the threshold is the logit of
+    the share of cut texts.  Expectation-maximisation over a histogram of the
+    log-odds estimates it; a language of fewer than MIN_TEXTS texts takes the
+    common one.
     """
     bins = odds.where("NOT unfinished AND NOT empty").groupBy("language", F.round(F.col("log_odds") * 4).cast("int").alias("bin")).count().collect()
     everything: dict[int, int] = {}
@@ -261,13 +288,14 @@ def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
         by.setdefault(r["language"], {})[r["bin"]] = r["count"]
         everything[r["bin"]] = everything.get(r["bin"], 0) + r["count"]
 
-    def valley(counts: dict[int, int]) -> float:
-        near = range(-8, 3)
-        height = {b: sum(counts.get(b + j, 0) * (3 - abs(j)) for j in range(-2, 3)) for b in near}
-        return min(near, key=lambda b: (height[b], abs(b))) / 4
+    def logit(counts: dict[int, int]) -> float:
+        share, total = 0.05, sum(counts.values())
+        for _ in range(200):
+            # a text of the usual share is added, so that a share is never 0 or 1
+            share = (0.05 + sum(n * share / (share + (1 - share) * math.exp(b / 4)) for b, n in counts.items())) / (total + 1)
+        return math.log(share / (1 - share))
 
-    common = valley(everything)
-    return {lang: valley(c) for lang, c in by.items() if sum(c.values()) >= MIN_TEXTS}, common
+    return {lang: logit(c) for lang, c in by.items() if sum(c.values()) >= MIN_TEXTS}, logit(everything)
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
