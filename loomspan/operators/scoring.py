@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import clean
 
+# Words of an abstention, and the patterns of verifiable parts of an answer.
 ABSTENTION = ["je ne sais pas", "information insuffisante", "i don't know", "cannot determine", "je_ne_sais_pas"]
 
+SYNTHETIC_ID = r"(?i)(?<![A-Za-z0-9])SYN-[A-Za-z0-9-]+"
+FICTIONAL_VALUE = r"(?i)(?<![\w-])(?:code|état)-fictif-\d+"
+ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
+AGE = r"(?i)(?<!\w)\d{1,3}\s+ans\b"
+UNKNOWN = r"(?i)(?<!\w)JE_NE_SAIS_PAS(?!\w)"
+DECISION = r"(?i)^\s*(oui|non)(?=\s|[.!?:;,])"
+
 
 def exact_form(text: Column) -> Column:
     """An answer in lower case with single blanks."""
@@ -20,12 +28,12 @@ def anchors(text: Column) -> Column:
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tag = lambda name, found: F.transform(found, lambda x: F.concat(F.lit(name + ":"), x))
     upper, lower = (lambda a: F.transform(a, F.upper)), (lambda a: F.transform(a, lambda x: clean(F.lower(x))))
-    unknown = F.when(text.rlike(r"(?i)(?<!\w)JE_NE_SAIS_PAS(?!\w)"), F.array(F.lit("unknown:JE_NE_SAIS_PAS"))).otherwise(F.array().cast("array<string>"))
-    word = F.lower(F.regexp_extract(text, r"(?i)^\s*(oui|non)(?=\s|[.!?:;,])", 1))
+    unknown = F.when(text.rlike(UNKNOWN), F.array(F.lit("unknown:JE_NE_SAIS_PAS"))).otherwise(F.array().cast("array<string>"))
+    word = F.lower(F.regexp_extract(text, DECISION, 1))
     decision = F.when(word != "", F.array(F.concat(F.lit("decision:"), word))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(
-        tag("id", upper(every(r"(?i)(?<![A-Za-z0-9])SYN-[A-Za-z0-9-]+"))), tag("value", lower(every(r"(?i)(?<![\w-])(?:code|état)-fictif-\d+"))),
-        tag("date", every(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)")), tag("age", lower(every(r"(?i)(?<!\w)\d{1,3}\s+ans\b"))), unknown, decision,
+        tag("id", upper(every(SYNTHETIC_ID))), tag("value", lower(every(FICTIONAL_VALUE))),
+        tag("date", every(ISO_DATE)), tag("age", lower(every(AGE))), unknown, decision,
     ))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
@@ -208,11 +207,20 @@ def f24_overlap(spark, d):
     return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", hub.lexical_overlap(q, t, stop).alias("overlap"))
 
 
-def f34_intents(spark, d):
-    def starts(pattern: str) -> Column:
-        return F.col("text").rlike(pattern)
+# The intents of a message by how it begins, in order of precedence.
+INTENTS = {
+    "calculate": r"(?i)^\s*(?:calcule|calculer|combien\s+font)\s+",
+    "observe": r"(?i)^\s*(?:souviens[\s-]*toi|m[ée]morise)\s+que\s+",
+    "know": r"(?i)^\s*que\s+sais[\s-]*tu",
+    "remind": r"(?i)^\s*rappelle[\s-]*moi",
+    "forget": r"(?i)^\s*oublie\s+",
+}
 
-    intent = F.when(starts(r"(?i)^\s*(?:calcule|calculer|combien\s+font)\s+"), "calculate").when(starts(r"(?i)^\s*(?:souviens[\s-]*toi|m[ée]morise)\s+que\s+"), "observe").when(starts(r"(?i)^\s*que\s+sais[\s-]*tu"), "know").when(starts(r"(?i)^\s*rappelle[\s-]*moi"), "remind").when(starts(r"(?i)^\s*oublie\s+"), "forget").otherwise("free")
+
+def f34_intents(spark, d):
+    intent = F.lit("free")
+    for name, pattern in reversed(INTENTS.items()):
+        intent = F.when(F.col("text").rlike(pattern), name).otherwise(intent)
     return table(spark, d, "memory_events").groupBy(intent.alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -328,8 +336,7 @@ SELECT id, CASE WHEN none THEN 0.25 ELSE round(shared / (n + 2 - shared)::double
     "f22_ids": "SELECT id, 'ev:' || sha256(canonical_key)[1:20] AS evidence_id, (('0x' || sha256(canonical_key)[1:16])::ubigint % 997)::bigint AS number FROM concepts",
     "f24_overlap": f"""WITH d AS (SELECT doc_id, {T.SQL_TOKENS.format('title')} AS q, {T.SQL_TOKENS.format('text')} AS t FROM documents WHERE title IS NOT NULL)
 SELECT doc_id, len(list_filter(list_intersect(list_distinct(q), list_distinct(t)), lambda x: length(x) > 1 AND x NOT IN ('le', 'la', 'de', 'the', 'of', 'que')))::integer AS overlap FROM d""",
-    "f34_intents": r"""SELECT CASE WHEN regexp_matches(text, '(?i)^\s*(?:calcule|calculer|combien\s+font)\s+') THEN 'calculate' WHEN regexp_matches(text, '(?i)^\s*(?:souviens[\s-]*toi|m[ée]morise)\s+que\s+') THEN 'observe'
-  WHEN regexp_matches(text, '(?i)^\s*que\s+sais[\s-]*tu') THEN 'know' WHEN regexp_matches(text, '(?i)^\s*rappelle[\s-]*moi') THEN 'remind' WHEN regexp_matches(text, '(?i)^\s*oublie\s+') THEN 'forget' ELSE 'free' END AS intent, count(*) AS n FROM memory_events GROUP BY 1""",
+    "f34_intents": "SELECT CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in INTENTS.items()) + " ELSE 'free' END AS intent, count(*) AS n FROM memory_events GROUP BY 1",
     "proj21_hub_keys": "SELECT sequence, 'memory-hub:' || sha256(concat_ws(chr(0), 'agent', 'space', idempotency_key)) AS key FROM injection_jobs",
     "proj7_previews": "SELECT ingest_order, CASE WHEN length(text) > 60 THEN text[1:59] || '…' ELSE text END AS preview FROM memory_events",
     "k2_upsert_ignore": """WITH f AS (SELECT sequence, id, state FROM injection_jobs QUALIFY row_number() OVER (PARTITION BY id ORDER BY sequence) = 1), l AS (SELECT sequence, id, state FROM injection_jobs QUALIFY row_number() OVER (PARTITION BY id ORDER BY sequence DESC) = 1)

@@ -68,7 +68,7 @@ def test_unsafe_archives_are_refused(tmp_path):
 
 
 def test_components_and_labels(spark):
-    df = spark.createDataFrame([("a/yago-META.ttl",), ("x.ntx",), ("my-shapes.ttl",), ("taxonomy.ttl",), ("facts-beyond.ttl",), ("facts.ttl",)], "n string")
+    df = spark.createDataFrame([("a/dump-META.ttl",), ("x.ntx",), ("my-shapes.ttl",), ("taxonomy.ttl",), ("facts-beyond.ttl",), ("facts.ttl",)], "n string")
     assert [r[0] for r in df.select(rdf.component(df.n)).collect()] == ["meta", "meta", "schema", "taxonomy", "facts_beyond_wikipedia", "facts"]
     assert spark.range(1).select(rdf.iri_label(F.lit("http://ex.org/a/Ada_Lovelace_%C3%A9"))).first()[0] == "Ada Lovelace é"
 
