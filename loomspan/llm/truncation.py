@@ -26,16 +26,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.runtime import stage
 
-ORDERS = (0, 1, 2, 3, 4, 5, 6, 8, 11, 15)
+ORDERS = (0, 2, 3, 4, 6, 9, 14)
 FILTER_BITS = 1 << 24
 #: From this place in ORDERS on, only contexts that end two texts or more are counted.
-LONG = 7
+LONG = 5
 #: Weight, in places, of the shorter context in the estimate of the longer; places that a longer one needs.
 SMOOTHING, FREQUENT = 10.0, 8
 #: Longer texts that are equal count once; short remarks may recur.
@@ -44,13 +45,21 @@ SALTS = 16
 MIN_TEXTS = 2000
 _PAD = max(ORDERS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CARRIER = re.compile(r"(?:[\s�]+|…|\.{2,}|[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|[\"»”’]|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
+_REMARK = re.compile(r"(?:[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
 
 
 def strip_carrier(text: str) -> str:
-    """The text without what a carrier may have put behind it."""
-    while m := _CARRIER.search(text, max(0, len(text) - 200)):
-        text = text[: m.start()]
+    """The text without what a carrier may have put behind it: blanks, dots, quotes, bracketed remarks."""
+    while text:
+        c = text[-1]
+        if c.isspace() or c in "�…\"»”’":
+            text = text[:-1].rstrip()
+        elif c == "." and text[-2:-1] == ".":
+            text = text.rstrip(".")
+        elif c in "])>}" and (m := _REMARK.search(text, max(0, len(text) - 60))):
+            text = text[: m.start()]
+        else:
+            break
     return text
 
 
@@ -80,18 +89,31 @@ def json_strings(text: str) -> tuple[list[str], bool]:
     return found, depth > 0
 
 
-def units_of(text: str) -> tuple[list[tuple[str, str]], bool]:
-    """(shape, characters) of each unit of a text, and whether it has an unfinished structure."""
+def units_of(text: str, last_only: bool = False) -> list[tuple[str, str]]:
+    """(shape, characters) of each unit of a text, or of its last one."""
+    bare = text.strip()
+    if _is_json(bare):
+        strings = [s for s in json_strings(bare)[0] if len(s) > 12]
+        return [("{", strip_carrier(s)) for s in (strings[-1:] if last_only else strings)] or [("{", "")]
+    kept = strip_carrier(text)
+    lines = [kept[kept.rfind("\n") + 1 :]] if last_only else [x for x in kept.split("\n") if x and not x.isspace()]
+    return [(line_shape(x), strip_carrier(x)) for x in lines] or [("", "")]
+
+
+def _is_json(bare: str) -> bool:
+    return bare[:1] in ("{", "[") and '"' in bare[:40]
+
+
+def is_unfinished(text: str) -> bool:
+    """Whether a bracket, quotation or JSON structure stays open, or the last character is a broken one."""
     bare = text.strip()
-    if bare[:1] in ("{", "[") and '"' in bare[:40]:
-        strings, is_open = json_strings(bare)
-        return [("{", strip_carrier(s)) for s in strings if len(s) > 12] or [("{", "")], is_open
+    if _is_json(bare):
+        return json_strings(bare)[1]
     kept = strip_carrier(text)
-    units = [(line_shape(line), strip_carrier(line)) for line in kept.split("\n") if line.strip()]
-    last, said = text.rstrip().rsplit("\n", 1)[-1], kept.rsplit("\n", 1)[-1]
-    broken = "�" in text[len(kept) :]  # a character was cut in two
-    is_open = broken or text.count("«") > text.count("»") or last.count('"') % 2 == 1 and '="' in last or said.count("(") > said.count(")")
-    return units or [("", "")], is_open
+    if "�" in text[len(kept) :] or text.count("«") > text.count("»"):
+        return True
+    last, said = bare.rsplit("\n", 1)[-1], kept.rsplit("\n", 1)[-1]
+    return last.count('"') % 2 == 1 and '="' in last or said.count("(") > said.count(")")
 
 
 def _codes(units: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +158,13 @@ def final_contexts(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             if not texts:
                 continue
-            parted = [units_of(t) for t in texts]
-            last = [u[-1] for u, _ in parted]
+            last = [units_of(t, last_only=True)[-1] for t in texts]
             keys = final_keys(last)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(ORDERS)), pa.array(keys.ravel()))
             digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             empty = [not u for _, u in last]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array([o for _, o in parted], pa.bool_()), pa.array(empty, pa.bool_()), pa.array([len(t) > SHORT for t in texts], pa.bool_()), pa.array(digests, pa.binary()), lists],
+                [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array([is_unfinished(t) for t in texts], pa.bool_()), pa.array(empty, pa.bool_()), pa.array([len(t) > SHORT for t in texts], pa.bool_()), pa.array(digests, pa.binary()), lists],
                 names=["doc_id", "lang", "source", "unfinished", "empty", "long", "digest", "keys"],
             )
 
@@ -179,9 +200,10 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
             keys = np.concatenate([k for k, _ in kept]) if kept else np.empty(0, np.uint64)
             ends = np.concatenate([e for _, e in kept]) if kept else np.empty(0, bool)
             kept.clear()
-            unique, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            at_end = np.bincount(inverse, weights=ends, minlength=len(unique)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(at_end), pa.array(counts.astype(np.int64) - at_end)], names=["key", "n_end", "n_on"])
+            codes, unique = pd.factorize(keys)
+            counts = np.bincount(codes, minlength=len(unique))
+            at_end = np.bincount(codes[ends], minlength=len(unique))
+            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(at_end), pa.array(counts - at_end)], names=["key", "n_end", "n_on"])
 
         waiting: list[tuple[str, str]] = []
         size = held = 0
@@ -189,7 +211,7 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if text is None:
                     continue
-                units = units_of(text)[0]
+                units = units_of(text)
                 waiting += units
                 size += sum(len(u) for _, u in units) + _PAD * len(units)
                 if size > 1 << 20:
@@ -237,7 +259,7 @@ def language(lang: Column) -> Column:
 def _log_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, log_odds from the counts (key, place, n_end, n_on); a text that was counted (column own = 1) is taken out."""
     # contexts of the lowest orders end many texts: their counts are repeated for SALTS groups of texts
-    low = 4
+    low = 3
     mine = contexts.select("doc_id", "own", F.posexplode("keys").alias("place", "key")).withColumn("salt", F.when(F.col("place") < low, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
     asked = counts.withColumn("salt", F.explode(F.when(F.col("place") < low, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     per_order = mine.join(asked, ["key", "place", "salt"])
@@ -245,8 +267,8 @@ def _log_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
     # share of ends among the places of the two last characters, then of the longest context that is frequent enough:
     # orders nest, so taking one of them counts each place once
     m, base = SMOOTHING, "(s[0].e + 0.5D) / (s[0].e + s[0].o + 1)"
-    odds = steps.selectExpr("doc_id", f"{base} AS q0", f"(s[2].e + {m}D * {base}) / (s[2].e + s[2].o + {m}D) AS q2", f"element_at(filter(s, x -> x.place < 3 OR x.e >= 2 OR x.e + x.o >= {FREQUENT}), -1) AS x")
-    odds = odds.selectExpr("doc_id", "q0", f"CASE WHEN x.place < 3 THEN q2 ELSE (x.e + {m}D * q2) / (x.e + x.o + {m}D) END AS q")
+    odds = steps.selectExpr("doc_id", f"{base} AS q0", f"(s[1].e + {m}D * {base}) / (s[1].e + s[1].o + {m}D) AS q2", f"element_at(filter(s, x -> x.place < 2 OR x.e >= 2 OR x.e + x.o >= {FREQUENT}), -1) AS x")
+    odds = odds.selectExpr("doc_id", "q0", f"CASE WHEN x.place < 2 THEN q2 ELSE (x.e + {m}D * q2) / (x.e + x.o + {m}D) END AS q")
     return odds.selectExpr("doc_id", "ln(greatest(q, 1e-12D) / greatest(1 - q, 1e-12D)) - ln(q0 / (1 - q0)) AS log_odds")
 
 

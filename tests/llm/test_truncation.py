@@ -55,7 +55,8 @@ def test_carriers_come_off():
 def test_structures():
     opened = ['{"a": "b', '[{"a": "b"}', "« never closed.", 'k="never closed', "text (see there"]
     closed = ['{"a": "b"}', "« closed »", 'k="closed"', "text (see there)", "a ) b", ""]
-    assert all(truncation.units_of(t)[1] for t in opened) and not any(truncation.units_of(t)[1] for t in closed)
+    assert all(map(truncation.is_unfinished, opened)) and not any(map(truncation.is_unfinished, closed))
+    assert all(truncation.units_of(t)[-1] == truncation.units_of(t, last_only=True)[-1] for t in opened + closed + ["a\nb\n\n[fin]\n", "- x\n- y…"])
 
 
 def test_no_texts(spark):
