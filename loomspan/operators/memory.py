@@ -201,8 +201,11 @@ def recall(log: DataFrame, query: list[str], top_k: int, as_of: str) -> DataFram
 
 def token_paths(log: DataFrame, most: int = PATH) -> DataFrame:
     """The first tokens of each episode in order, joined by blanks, and whether there are more."""
-    upto = F.sum(F.size("tokens")).over(Window.partitionBy("episode").orderBy("ingest_order").rowsBetween(Window.unboundedPreceding, -1))
-    first = log.withColumn("_before", F.coalesce(upto, F.lit(0))).where(f"_before <= {most}")
+    # every event has a token, so the first most + 1 events suffice; Spark cuts them off before the shuffle
+    order = Window.partitionBy("episode").orderBy("ingest_order")
+    first = log.select("episode", "ingest_order", "tokens").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most + 1)
+    upto = F.sum(F.size("tokens")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = first.withColumn("_before", F.coalesce(upto, F.lit(0))).where(f"_before <= {most}")
     items = first.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("ingest_order", "tokens"))).alias("s"))
     path = F.flatten(F.transform("s", lambda x: x["tokens"]))
     return items.select("episode", F.array_join(F.slice(path, 1, most), " ").alias("path"), (F.size(path) > most).alias("truncated"))

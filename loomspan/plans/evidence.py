@@ -76,8 +76,8 @@ def j12_claim_labels(spark, d):
 
 def j14_ages(spark, d):
     claims = table(spark, d, "claims").where("temporal_start IS NOT NULL").select(F.col("subject_value").alias("entity"), F.col("statement_id").alias("fact_id"), "predicate_iri", F.trim("temporal_start").alias("date")).distinct()
-    born = claims.where("predicate_iri = 'urn:mem:rel/type'").drop("predicate_iri")
-    return evidence.ages(born, claims.where("predicate_iri <> 'urn:mem:rel/type'").drop("predicate_iri"))
+    born = claims.where("predicate_iri = 'urn:mem:rel/reside_a'").drop("predicate_iri")
+    return evidence.ages(born, claims.where("predicate_iri <> 'urn:mem:rel/reside_a'").drop("predicate_iri"))
 
 
 def u5_ground_truth(spark, d):
@@ -167,8 +167,8 @@ UNION ALL SELECT row_id, 'item-' || row_id, row_id * 1000 FROM training_examples
     "j12_claim_labels": """WITH n AS (SELECT subject_value, min(subject_label) AS name FROM claims WHERE subject_label IS NOT NULL GROUP BY subject_value), r AS (SELECT DISTINCT statement_id, subject_value, predicate_label, object_label FROM claims)
 SELECT statement_id, concat_ws(' ', coalesce(name, subject_value), predicate_label, object_label) AS text FROM r LEFT JOIN n USING (subject_value)""",
     "j14_ages": f"""WITH c AS (SELECT DISTINCT subject_value AS entity, statement_id AS fact_id, predicate_iri, trim(temporal_start) AS d FROM claims WHERE temporal_start IS NOT NULL),
-b AS (SELECT entity, max(fact_id) AS birth_id, arg_max(d, fact_id) AS bd FROM c WHERE predicate_iri = 'urn:mem:rel/type' GROUP BY entity),
-p AS (SELECT c.entity, c.fact_id AS event_id, birth_id, {_DATE.format('bd')} AS b0, {_LAST.format('bd')} AS b1, {_DATE.format('d')} AS e0, {_LAST.format('d')} AS e1 FROM c JOIN b USING (entity) WHERE predicate_iri <> 'urn:mem:rel/type'),
+b AS (SELECT entity, max(fact_id) AS birth_id, arg_max(d, fact_id) AS bd FROM c WHERE predicate_iri = 'urn:mem:rel/reside_a' GROUP BY entity),
+p AS (SELECT c.entity, c.fact_id AS event_id, birth_id, {_DATE.format('bd')} AS b0, {_LAST.format('bd')} AS b1, {_DATE.format('d')} AS e0, {_LAST.format('d')} AS e1 FROM c JOIN b USING (entity) WHERE predicate_iri <> 'urn:mem:rel/reside_a'),
 a AS (SELECT *, year(e0) - year(b1) - CASE WHEN month(e0) * 100 + day(e0) < month(b1) * 100 + day(b1) THEN 1 ELSE 0 END AS lo, year(e1) - year(b0) - CASE WHEN month(e1) * 100 + day(e1) < month(b0) * 100 + day(b0) THEN 1 ELSE 0 END AS hi FROM p)
 SELECT entity, event_id, birth_id, CASE WHEN lo = hi THEN lo::varchar ELSE lo || '..' || hi END AS age FROM a WHERE lo >= 0 AND hi IS NOT NULL""",
     "u5_ground_truth": f"""WITH {FACTS}, per AS (SELECT entity, predicate, sum(n)::bigint AS n_facts, count(*) FILTER (WHERE n > 1) AS n_ambiguous FROM instants GROUP BY ALL),
