@@ -27,7 +27,9 @@ def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """
     specs = specs.where("capacity_tokens >= 1").select("spec_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"))
     # the specifications are a small fixed table; every text is meant for each of them
-    each = sizes.where("tokens > 0").withColumn("spec", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(k) for k, v in r.asDict().items())) for r in specs.collect()))))
+    rows = [F.struct(*(F.lit(v).cast("long").alias(k) for k, v in r.asDict().items())) for r in specs.collect()]
+    none = F.array().cast("array<struct<spec_id:bigint,capacity_tokens:bigint,separator_tokens:bigint>>")
+    each = sizes.where("tokens > 0").withColumn("spec", F.explode(F.array(*rows) if rows else none))
     each = each.select("spec.*", "doc_id", F.col("tokens").alias("all_tokens"), "loss_tokens")
     count = F.ceil(F.col("all_tokens") / F.col("capacity_tokens"))
     each = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))

@@ -43,6 +43,7 @@ def test_little_space_is_left(spark):
 def test_nothing_to_pack(spark):
     specs = spark.createDataFrame([(1, "a", 512, 1)], SPECS)
     assert packing.containers(spark.createDataFrame([], SIZES), specs).count() == 0
+    assert packing.containers(spark.createDataFrame([(1, "s", 5, 5, 0)], SIZES), specs.limit(0)).count() == 0
 
 
 def test_targets_with_caps_and_absent_sources():
