@@ -45,28 +45,35 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, separator: int, se
     order = np.argsort(kind_of.ravel(), kind="stable")
     left = np.bincount(kind_of.ravel(), minlength=len(kinds))
     following = np.concatenate(([0], np.cumsum(left)))[:-1]
-    limits = np.array([capacity + separator, segments, most_loss], dtype=float)
-    # equal items are one kind; a step looks at kinds, not items
-    need = np.column_stack((kinds[:, 0] + separator, np.ones(len(kinds)), kinds[:, 1])).astype(float)
-    share = need / limits
+    # equal items are one kind, kinds stand in order of tokens: a step looks at the kinds that still fit
     container, place = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
-    live = np.flatnonzero(left)
-    room, number, held = limits.copy(), 0, 0
+    size, lossy, alive = (kinds[:, 0] + separator).astype(float), kinds[:, 1].astype(float), np.arange(len(kinds))
+    most = capacity + separator, most_loss
+    room, lossroom, seats, number, held, dead = float(most[0]), float(most[1]), segments, 0, 0, 0
     for _ in range(len(tokens)):
-        fits = (need[live] <= room).all(axis=1)
-        if not fits.any():
-            room, number, held = limits.copy(), number + 1, 0
-            fits = np.ones(len(live), dtype=bool)
-        value = share[live] @ (room / limits)
-        best = live[np.argmax(np.where(fits, value, -1.0))]
-        item = order[following[best]]
-        following[best] += 1
-        left[best] -= 1
+        best = -1
+        if seats:
+            upto = np.searchsorted(size, room, side="right")
+            value = size[:upto] * (room / most[0] ** 2) + lossy[:upto] * (lossroom / most[1] ** 2)
+            value[(lossy[:upto] > lossroom) | (left[alive[:upto]] == 0)] = -1.0
+            if upto and value.max() >= 0:
+                best = int(value.argmax())
+        if best < 0:
+            room, lossroom, seats, number, held = float(most[0]), float(most[1]), segments, number + 1, 0
+            value = size / most[0] + lossy / most[1]
+            value[left[alive] == 0] = -1.0
+            best = int(value.argmax())
+        kind = alive[best]
+        item = order[following[kind]]
+        following[kind] += 1
+        left[kind] -= 1
         container[item], place[item] = number, held
-        room = room - need[best]
-        held += 1
-        if not left[best]:
-            live = live[live != best]
+        room, lossroom, seats, held = room - size[best], lossroom - lossy[best], seats - 1, held + 1
+        if not left[kind]:
+            dead += 1
+            if dead * 4 > len(alive):
+                keep = left[alive] > 0
+                size, lossy, alive, dead = size[keep], lossy[keep], alive[keep], 0
     return container, place
 
 
