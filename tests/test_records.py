@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import civil, mathx, units
 from loomspan.functions.text import canonical_json, repaired, single_json_object
-from loomspan.operators import contracts, hub, queue, ranking, scoring, sinks, timeline
+from loomspan.operators import contracts, evidence, hub, queue, ranking, scoring, sinks, timeline
 from loomspan.sources import jsonio, rdf
 
 TURTLE = """@prefix ex: <http://ex.org/> .
@@ -212,3 +212,21 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_json_lines(old, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"k":1,"n":1,"v":"a"}'
+
+
+def test_evidence_rows(spark):
+    items = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "k long, parts array<string>")
+    assert sorted(tuple(r) for r in evidence.atomic_evidence(items, "k", "parts").collect()) == [(1, "a", 1000), (1, "b", 1001), (2, "item-2", 2000), (3, "item-3", 3000)]
+    docs = spark.createDataFrame([(1, '{"a":[{"x":{"secret":1}}]}'), (2, '{"a":"secret"}'), (3, "{secret"), (4, None)], "key long, doc string")
+    assert {r.key: r.found for r in evidence.has_key(docs, {"secret"}).collect()} == {1: True, 2: False}
+    jobs = spark.createDataFrame([(1, " ", '{"idempotency_key":"s","type":"observed"}', '{"idempotency_key":"c"}'), (2, "k", "{broken", None), (3, None, "{}", '{"idempotency_key":"c"}'), (4, None, None, None)], "sequence long, idempotency_key string, source_json string, context_json string")
+    assert {r.sequence: (r.key, r.source_type) for r in evidence.normalised_source(jobs).collect()} == {1: ("s", "observed"), 2: ("k", "user_confirmed"), 3: ("c", "user_confirmed"), 4: (None, "user_confirmed")}
+    births = spark.createDataFrame([("e", "b1", "1900"), ("e", "b2", "1910-05")], "entity string, fact_id string, date string")
+    events = spark.createDataFrame([("e", "x", "1950"), ("e", "b2", "1910-05"), ("e", "early", "1800"), ("f", "y", "1950")], "entity string, fact_id string, date string")
+    assert [tuple(r) for r in evidence.ages(births, events).collect()] == [("e", "x", "b2", "39..40")]
+
+
+def test_base_facts_are_deterministic(spark):
+    a, b = evidence.base_facts(spark, 50).collect(), evidence.base_facts(spark, 50).collect()
+    assert a == b and len({r.fact_id for r in a}) == 50 and all(r.year != 0 for r in a)
+    assert contracts.synthetic_worlds(spark, 20, 1).collect() == contracts.synthetic_worlds(spark, 20, 1).collect()
