@@ -9,7 +9,7 @@ from loomspan.operators import memory
 from loomspan.runtime import table
 
 AS_OF = "2026-01-01 00:00:00"
-HISTORY = ["le", "capteur"]
+HISTORY = ["la", "carte"]
 QUERY = ["temperature", "du", "capteur", "rouge", "introuvable"]
 FORGOTTEN = "generated"
 
