@@ -207,9 +207,23 @@ RESULT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("exa
 evaluate = F.udf(evaluate_text, RESULT, useArrow=True)
 
 
+FAMILIES = ("sum_product", "gcd", "comb", "sqrt", "mean", "sin_cos", "floor", "isqrt", "hypot", "log2")
+
+
+def _terms(i: Column) -> tuple[Column, Column, Column]:
+    return 2 + (17 * i) % 997, 2 + (31 * i) % 499, 2 + (13 * i) % 97
+
+
+def _by_family(i: Column, forms: list[Column]) -> Column:
+    out = forms[0]
+    for k in range(1, 10):
+        out = F.when(i % 10 == k, forms[k]).otherwise(out)
+    return out
+
+
 def workload(i: Column) -> Column:
     """The i-th expression of ten families, as text."""
-    a, b, c = 2 + (17 * i) % 997, 2 + (31 * i) % 499, 2 + (13 * i) % 97
+    a, b, c = _terms(i)
     s = lambda x: x.cast("string")
     forms = [
         F.concat(s(a), F.lit(" + "), s(b), F.lit(" * "), s(c)), F.concat(F.lit("gcd("), s(a), F.lit(", "), s(b), F.lit(")")),
@@ -218,10 +232,23 @@ def workload(i: Column) -> Column:
         F.concat(F.lit("floor("), s(a), F.lit(" / "), s(b), F.lit(")")), F.concat(F.lit("isqrt("), s(a * b), F.lit(")")),
         F.concat(F.lit("hypot("), s(a), F.lit(", "), s(b), F.lit(")")), F.concat(F.lit("log2(2 ** "), s(c), F.lit(")")),
     ]
-    out = forms[0]
-    for k in range(1, 10):
-        out = F.when(i % 10 == k, forms[k]).otherwise(out)
-    return out
+    return _by_family(i, forms)
+
+
+def workload_family(i: Column) -> Column:
+    """Name of the family of the i-th expression; null where there is none."""
+    return F.when(i.isNotNull(), _by_family(i, [F.lit(x) for x in FAMILIES]))
+
+
+def workload_value(i: Column) -> Column:
+    """Value of the i-th expression by Spark's own functions, without the evaluator."""
+    a, b, c = _terms(i)
+    k = (c % 5).cast("int")
+    own = [
+        a + b * c, fold_gcd(a, b), falling((c + 10).cast("int"), k) / F.factorial(k), F.sqrt(a), (a + b + c) / 3, F.sin(a) + F.cos(b),
+        F.floor(a / b), F.floor(F.sqrt(a * b)), F.hypot(a, b), F.log2(F.pow(F.lit(2.0), c)),
+    ]
+    return _by_family(i, [x.cast("double") for x in own])
 
 
 def agrees(a: Column, b: Column) -> Column:
