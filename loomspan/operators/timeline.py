@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.units import haversine_km
 from loomspan.runtime import stage
 
 #: Column names of a fact: entity, predicate, precision, position, object, fact_id.
@@ -64,6 +65,21 @@ def changes(facts: DataFrame) -> DataFrame:
     return out.select(*INSTANT, "fact_id", "previous_id", "d.kind", "d.value", "d.exact").where("value IS NOT NULL")
 
 
+def distances(facts: DataFrame) -> DataFrame:
+    """distance_from_previous: kilometres between a fact and its previous one, of any precision.
+
+    ``object`` is a struct of latitude and longitude in degrees; a fact without
+    either of them has no distance.
+    """
+    rows = with_previous(facts).where("previous IS NOT NULL")
+    old, new = F.col("previous.object"), F.col("object")
+    km = haversine_km(old["latitude"], old["longitude"], new["latitude"], new["longitude"])
+    # least() skips nulls, so a missing coordinate would give half the equator
+    known = old["latitude"].isNotNull() & old["longitude"].isNotNull() & new["latitude"].isNotNull() & new["longitude"].isNotNull()
+    out = rows.select(*INSTANT, "fact_id", F.col("previous.fact_id").alias("previous_id"), F.lit("distance_from_previous").alias("kind"), F.when(known, km).alias("value"), F.lit(False).alias("exact"))
+    return out.where("value IS NOT NULL")
+
+
 def durations(spans: DataFrame, start: Column, end: Column, precision: Column) -> DataFrame:
     """Length and midpoint of spans whose bounds have one precision (9 year, 10 month, 11 day), on the axis of that precision.
 

@@ -43,10 +43,19 @@ def f17_changes(spark, d):
 
 
 def f17_durations(spark, d):
-    claims = table(spark, d, "claims").select("statement_id", F.trim("temporal_start").alias("s"), F.trim("temporal_end").alias("e")).distinct()
-    years = claims.where(F.col("s").rlike(r"^\d{4}$") & F.col("e").rlike(r"^\d{4}$"))
-    a, b = F.col("s").cast("long"), F.col("e").cast("long")
-    return timeline.durations(years, a, b, F.lit(9)).select("statement_id", "kind", "value", "exact")
+    """Spans whose bounds have one precision, each on the axis of that precision."""
+    claims = table(spark, d, "claims").select("statement_id", F.trim("temporal_start").alias("s"), F.trim("temporal_end").alias("e"))
+
+    def bound(c):
+        # a time of day or Z behind a day leaves it a day; days count on the axis of civil.day_number
+        day = intervals.day_number(F.col(c), end=False)
+        year, month = F.substring(c, 1, 4).cast("long"), F.substring(c, 6, 2).cast("long")
+        precision = F.when(F.col(c).rlike(r"^\d{4}$"), 9).when(day.isNull(), None).when(F.col(c).rlike(r"^\d{4}-\d{2}$"), 10).otherwise(11)
+        return precision, F.when(precision == 9, year).when(precision == 10, year * 12 + month - 1).otherwise(day + 306)
+
+    (p, a), (q, b) = bound("s"), bound("e")
+    spans = claims.select("statement_id", p.alias("precision"), q.alias("other"), a.alias("a"), b.alias("b")).where("precision = other").distinct()
+    return timeline.durations(spans, F.col("a"), F.col("b"), F.col("precision")).select("statement_id", "kind", "value", "exact")
 
 
 def j13_two_hops(spark, d):

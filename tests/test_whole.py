@@ -1,6 +1,9 @@
 """Queries do the whole job: nothing is filtered, capped or fixed to one case."""
 
-from loomspan.plans import evidence
+import math
+
+from loomspan.operators import timeline
+from loomspan.plans import evidence, facts
 
 
 def test_differential_check_covers_every_family(spark, tmp_path):
@@ -8,3 +11,22 @@ def test_differential_check_covers_every_family(spark, tmp_path):
     got = {r.family: (r.n, r.n_agreeing) for r in evidence.a31_differential(spark, str(tmp_path)).collect()}
     names = ("sum_product", "gcd", "comb", "sqrt", "mean", "sin_cos", "floor", "isqrt", "hypot", "log2")
     assert got == {name: (20, 20) for name in names}
+
+
+def test_durations_of_years_months_and_days(spark, tmp_path):
+    rows = [("y", " 1990 ", "1995"), ("m", "1990-11", "1991-02"), ("d", "0001-01-01", "0001-01-31T10:00:00Z"), ("mixed", "1990", "1991-02"), ("back", "1991-02", "1990-11"), ("bad", "1999-13", "2000-01"), ("badday", "1999-02-30", "1999-03-01"), ("open", "1990", None)]
+    spark.createDataFrame(rows, "statement_id string, temporal_start string, temporal_end string").write.parquet(f"{tmp_path}/claims.parquet")
+    got = {tuple(r) for r in facts.f17_durations(spark, str(tmp_path)).collect()}
+    month = 1990 * 12 + 10
+    assert got == {
+        ("y", "duration_years", 5.0, False), ("y", "temporal_midpoint", 1992.5, False), ("m", "duration_months", 3.0, False), ("m", "temporal_midpoint", month + 1.5, False),
+        ("d", "duration_days", 30.0, True), ("d", "temporal_midpoint", 321.0, True),
+    }
+
+
+def test_distance_from_previous(spark):
+    f = lambda at, i, lat, lon, p=11: ("e", "at", p, at, (lat, lon), i)
+    rows = [f(1, "a", 0.0, 0.0), f(2, "b", 0.0, 180.0, 9), f(3, "c", None, 1.0), f(4, "d", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "entity string, predicate string, precision int, position long, object struct<latitude: double, longitude: double>, fact_id string")
+    assert [(r.fact_id, r.previous_id, r.kind, r.exact) for r in timeline.distances(df).collect()] == [("b", "a", "distance_from_previous", False)]
+    assert abs(timeline.distances(df).first().value - math.pi * 6371.0088) < 1e-6
