@@ -56,7 +56,7 @@ def a1_continuations(spark, d):
 
 
 def a2_decayed_support(spark, d):
-    out = memory.decayed_support(memory.evidence_spans(_log(spark, d)).where("length = 1"), AS_OF, 30.0)
+    out = memory.decayed_support(memory.evidence_spans(_log(spark, d)), AS_OF, 30.0)
     return out.withColumn("decayed_support", F.round("decayed_support", 4))
 
 

@@ -1,9 +1,14 @@
 """Queries do the whole job: nothing is filtered, capped or fixed to one case."""
 
 import math
+import os
+
+import pytest
 
 from loomspan.operators import timeline
-from loomspan.plans import evidence, facts
+from loomspan.plans import evidence, facts, memory
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_differential_check_covers_every_family(spark, tmp_path):
@@ -30,3 +35,10 @@ def test_distance_from_previous(spark):
     df = spark.createDataFrame(rows, "entity string, predicate string, precision int, position long, object struct<latitude: double, longitude: double>, fact_id string")
     assert [(r.fact_id, r.previous_id, r.kind, r.exact) for r in timeline.distances(df).collect()] == [("b", "a", "distance_from_previous", False)]
     assert abs(timeline.distances(df).first().value - math.pi * 6371.0088) < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_decayed_support_covers_all_lengths(spark):
+    got = {(r.length, r.pattern, r.next_token) for r in memory.a2_decayed_support(spark, SMALL).collect()}
+    want = {(r.length, r.pattern, r.next_token) for r in memory.a1_continuations(spark, SMALL).collect()}
+    assert got == want and {length for length, _, _ in got} == {1, 2, 3}
