@@ -42,7 +42,8 @@ SMOOTHING, FREQUENT = 10.0, 8
 #: Longer texts that are equal count once; short remarks may recur.
 SHORT = 80
 SALTS = 16
-MIN_TEXTS = 2000
+#: Weight, in texts, of the common share of cut texts in the estimate for one language.
+PRIOR_TEXTS = 200
 _PAD = max(ORDERS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _REMARK = re.compile(r"(?:[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
@@ -300,8 +301,8 @@ def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
 
     A text is cut if that is likelier than not, so the threshold is the logit of
     the share of cut texts.  Expectation-maximisation over a histogram of the
-    log-odds estimates it; a language of fewer than MIN_TEXTS texts takes the
-    common one.
+    log-odds estimates it.  The common share counts as PRIOR_TEXTS texts of every
+    language, so a small one stays near it and a large one follows its own texts.
     """
     bins = odds.where("NOT unfinished AND NOT empty").groupBy("language", F.round(F.col("log_odds") * 4).cast("int").alias("bin")).count().collect()
     everything: dict[int, int] = {}
@@ -310,14 +311,16 @@ def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
         by.setdefault(r["language"], {})[r["bin"]] = r["count"]
         everything[r["bin"]] = everything.get(r["bin"], 0) + r["count"]
 
-    def logit(counts: dict[int, int]) -> float:
-        share, total = 0.05, sum(counts.values())
+    def cut_share(counts: dict[int, int], usual: float, weight: float) -> float:
+        share, total = usual, sum(counts.values())
         for _ in range(200):
-            # a text of the usual share is added, so that a share is never 0 or 1
-            share = (0.05 + sum(n * share / (share + (1 - share) * math.exp(b / 4)) for b, n in counts.items())) / (total + 1)
-        return math.log(share / (1 - share))
+            # texts of the usual share are added, so that a share is never 0 or 1
+            share = (weight * usual + sum(n * share / (share + (1 - share) * math.exp(b / 4)) for b, n in counts.items())) / (total + weight)
+        return share
 
-    return {lang: logit(c) for lang, c in by.items() if sum(c.values()) >= MIN_TEXTS}, logit(everything)
+    logit = lambda share: math.log(share / (1 - share))
+    common = cut_share(everything, 0.05, 1)
+    return {lang: logit(cut_share(c, common, PRIOR_TEXTS)) for lang, c in by.items()}, logit(common)
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
