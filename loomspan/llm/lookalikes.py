@@ -134,10 +134,30 @@ def lookalike_classes(counts: dict[str, int]) -> dict[str, str]:
             whole = unicodedata.normalize("NFC", letter + mark)
             if len(whole) == 1:
                 sets.union(letter + mark, whole)
-    chosen = {}
+    # members that NFC makes one are one spelling, and only what NFC leaves as it is can stand in a rewritten text
+    spelt: dict[str, int] = {}
     for group in sets.members():
-        best = "" if "" in group else " " if " " in group else min(group, key=lambda m: (-counts.get(m, 0), len(m), m))
+        for m in group:
+            whole = unicodedata.normalize("NFC", m)
+            spelt[whole] = spelt.get(whole, 0) + counts.get(m, 0)
+
+    def best_of(members: list[str]) -> str:
+        return "" if "" in members else " " if " " in members else min(members, key=lambda m: (-spelt[m], len(m), m))
+
+    chosen, best_by = {}, []
+    for group in sets.members():
+        stable = [m for m in group if unicodedata.normalize("NFC", m) == m]
+        best = best_of(stable)
+        best_by.append((group, stable, best))
         chosen.update((m, best) for m in group if m != best)
+    # a sequence whose letter is rewritten may lead back to itself: then a single character represents
+    rewrite = Rewriter(chosen)
+    for group, stable, best in best_by:
+        single = [m for m in stable if len(m) == 1]
+        if len(best) > 1 and single and rewrite.returns(best):
+            best = best_of(single)
+            chosen.update((m, best) for m in group)
+            del chosen[best]
     return chosen
 
 
@@ -157,15 +177,32 @@ class Rewriter:
         if not self.table or self.plain_kept and text.isascii():
             return text
         text = unicodedata.normalize("NFC", text)
+        met = [text]
         while True:
-            out, at = [], 0
-            for end, (length, best) in self.automaton.iter_long(text):
-                out += (text[at : end + 1 - length], best)
-                at = end + 1
-            if not out:
+            text = self.once(text)
+            if text == met[-1]:
                 return text
-            out.append(text[at:])
-            text = unicodedata.normalize("NFC", "".join(out))
+            if text in met:
+                # whichever text of a round comes first, the form is the same
+                return min(met[met.index(text) :])
+            met.append(text)
+
+    def once(self, text: str) -> str:
+        out, at = [], 0
+        for end, (length, best) in self.automaton.iter_long(text):
+            out += (text[at : end + 1 - length], best)
+            at = end + 1
+        if not out:
+            return text
+        out.append(text[at:])
+        return unicodedata.normalize("NFC", "".join(out))
+
+    def returns(self, text: str) -> bool:
+        """Whether rewriting ``text`` changes it and leads back to it."""
+        met = [text]
+        while (text := self.once(text)) not in met:
+            met.append(text)
+        return text == met[0] and len(met) > 1
 
 
 def representatives(texts: DataFrame) -> dict[str, str]:

@@ -1,9 +1,11 @@
 """The llm queries do the whole job: nothing depends on table size, spelling or a limit that isn't there."""
 
+import unicodedata
+
 import pytest
 
 pytest.importorskip("loomspan.llm")
-from loomspan.llm import truncation  # noqa: E402
+from loomspan.llm import lookalikes, truncation  # noqa: E402
 
 ODDS = "language string, log_odds double, unfinished boolean, empty boolean"
 
@@ -19,3 +21,28 @@ def test_every_language_has_its_own_threshold(spark):
     assert set(by) == {"en", "es", "fr", "de", "it"}
     assert abs(by["fr"] - by["de"]) < 0.02
     assert common < by["it"] < by["es"] < by["fr"] and by["en"] < common
+
+
+def forms(texts):
+    counts = {}
+    for t in texts:
+        for m in [*t, *(t[i - 1 : i + 1] for i, c in enumerate(t) if i and unicodedata.combining(c))]:
+            counts[m] = counts.get(m, 0) + 1
+    table = lookalikes.lookalike_classes(counts)
+    rewrite = lookalikes.Rewriter(table)
+    return table, [rewrite(t) for t in texts]
+
+
+def test_decomposed_accents_end():
+    composed = "mañana ñu"
+    apart = unicodedata.normalize("NFD", composed)
+    for corpus in ([apart] * 5 + [composed], [apart] * 5):
+        table, got = forms(corpus)
+        assert set(got) == {composed} and table["ñ"] == "ñ"
+
+
+def test_stressed_cyrillic_does_not_turn_in_circles():
+    # latin a prevails, but with an accent the cyrillic letter does
+    texts = ["a"] * 9 + ["а́"] * 4 + ["á", "á"]
+    _, got = forms(texts)
+    assert set(got[9:]) == {"á"} and set(got[:9]) == {"a"}
