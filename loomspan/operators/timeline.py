@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,39 +107,57 @@ def effective(facts: DataFrame, edges: DataFrame) -> DataFrame:
     return facts.join(retracted.unionByName(sup).distinct(), "fact_id", "left_anti")
 
 
-def correction_problems(facts: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
+def correction_problems(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """fact_id, target_id, problem: unknown_target, self, other_key (supersession across keys) or cycle."""
     keys = facts.select("fact_id", F.struct(*KEY).alias("key"))
     unknown = edges.join(keys.select(F.col("fact_id").alias("target_id")), "target_id", "left_anti").select("fact_id", "target_id", F.lit("unknown_target").alias("problem"))
     own = edges.where("fact_id = target_id").select("fact_id", "target_id", F.lit("self").alias("problem"))
     pair = edges.where("kind = 'supersedes'").join(keys, "fact_id").withColumnRenamed("key", "own").join(keys.withColumnsRenamed({"fact_id": "target_id"}), "target_id")
     across = pair.where("own <> key").select("fact_id", "target_id", F.lit("other_key").alias("problem"))
-    loops = on_cycles(edges.where("fact_id <> target_id").select(F.col("fact_id").alias("src"), F.col("target_id").alias("dst")), depth)
+    loops = on_cycles(edges.where("fact_id <> target_id").select(F.col("fact_id").alias("src"), F.col("target_id").alias("dst")))
     cycle = loops.select(F.col("node").alias("fact_id"), F.lit(None).cast(edges.schema["target_id"].dataType).alias("target_id"), F.lit("cycle").alias("problem"))
     return unknown.unionByName(own).unionByName(across).unionByName(cycle)
 
 
-def on_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes on a directed cycle of at most ``depth`` edges, with the shortest length.
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle, of any length, with the length of the shortest one.
 
-    Nodes without an edge in and one out are peeled off first; walks keep only
-    distinct (start, end) pairs, so a walk costs at most the pairs that exist.
+    Nodes without an edge in and one out are peeled off until none is left.  Walks
+    then go on from every start by one edge at a time, over (start, end) pairs not
+    met before, and a start that has come back is done: each pair is met once.
     """
     edges = stage(edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    for _ in range(3):
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-    edges = stage(edges)
-    found = None
-    walk = edges
-    for length in range(1, depth + 1):
-        closed = walk.where("src = dst").select(F.col("src").alias("node"), F.lit(length).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        if length < depth:
-            following = walk.where("src <> dst").withColumnRenamed("dst", "mid").join(edges.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-            walk = stage(following)
-            if not walk.take(1):
-                break
-    return found.groupBy("node").agg(F.min("length").alias("length"))
+    n_edges = edges.count()
+    while n_edges:
+        kept = edges
+        for _ in range(3):
+            kept = kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        kept = stage(kept)
+        before, n_edges, edges = n_edges, kept.count(), kept
+        if n_edges == before:
+            break
+    steps = edges.withColumnRenamed("src", "mid")
+    found: list[DataFrame] = []
+    met: list[DataFrame] = []
+    walk, length = edges, 1
+    while True:
+        back = stage(walk.where("src = dst").select(F.col("src").alias("node"), F.lit(length).alias("length")))
+        found = _few([*found, back])
+        met = _few([*met, walk])
+        going = walk.join(back.select(F.col("node").alias("src")), "src", "left_anti")
+        walk = going.withColumnRenamed("dst", "mid").join(steps, "mid").select("src", "dst").distinct()
+        for old in met:
+            walk = walk.join(old, ["src", "dst"], "left_anti")
+        walk = stage(walk)
+        if not walk.take(1):
+            break
+        length += 1
+    return reduce(DataFrame.unionByName, found)
+
+
+def _few(tables: list[DataFrame]) -> list[DataFrame]:
+    """The same rows in at most eight tables, so that plans stay small however many steps there are."""
+    return tables if len(tables) <= 8 else [stage(reduce(DataFrame.unionByName, tables))]
 
 
 def two_hops(facts: DataFrame) -> DataFrame:

@@ -42,3 +42,14 @@ def test_decayed_support_covers_all_lengths(spark):
     got = {(r.length, r.pattern, r.next_token) for r in memory.a2_decayed_support(spark, SMALL).collect()}
     want = {(r.length, r.pattern, r.next_token) for r in memory.a1_continuations(spark, SMALL).collect()}
     assert got == want and {length for length, _, _ in got} == {1, 2, 3}
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 18}") for i in range(18)]
+    square = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("c", "a"), ("d", "tail"), ("head", "a"), ("s", "s"), ("d", "s"), (None, "a")]
+    rows = timeline.on_cycles(spark.createDataFrame(ring + square, "src string, dst string")).collect()
+    want = {f"r{i}": 18 for i in range(18)} | {"a": 3, "b": 3, "c": 3, "d": 4, "s": 1}
+    assert len(rows) == len(want) and {r.node: r.length for r in rows} == want
+    facts_ = spark.createDataFrame([("e", "p", 11, i, "o", f"r{i}") for i in range(18)], "entity string, predicate string, precision int, position long, object string, fact_id string")
+    edges = spark.createDataFrame([(a, b, "retracts") for a, b in ring], "fact_id string, target_id string, kind string")
+    assert {(r.fact_id, r.problem) for r in timeline.correction_problems(facts_, edges).collect()} == {(f"r{i}", "cycle") for i in range(18)}
