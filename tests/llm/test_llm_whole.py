@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 
 pytest.importorskip("loomspan.llm")
-from loomspan.llm import lookalikes, truncation  # noqa: E402
+from loomspan.llm import lookalikes, packing, truncation  # noqa: E402
 
 ODDS = "language string, log_odds double, unfinished boolean, empty boolean"
 
@@ -46,3 +46,17 @@ def test_stressed_cyrillic_does_not_turn_in_circles():
     texts = ["a"] * 9 + ["а́"] * 4 + ["á", "á"]
     _, got = forms(texts)
     assert set(got[9:]) == {"á"} and set(got[:9]) == {"a"}
+
+
+def test_limits_with_the_parameters_of_the_queries(spark):
+    sizes = [(i, t := 1 + i * 37 % 90, t if i % 2 else i % t) for i in range(600)]
+    df = spark.createDataFrame(sizes, "doc_id long, tokens long, loss_tokens long")
+    specs = spark.createDataFrame([(1, 64, 2), (2, 256, 0)], "spec_id long, capacity_tokens long, separator_tokens long")
+    loss = {(r.spec_id, r.doc_id, r.piece): r.loss_tokens for r in packing.pieces(df, specs).collect()}
+    boxes = {}
+    for r in packing.containers(df, specs).collect():
+        boxes.setdefault((r.spec_id, r.container), []).append((r.tokens, loss[r.spec_id, r.doc_id, r.piece]))
+    for (spec, _), box in boxes.items():
+        capacity, separator = {1: (64, 2), 2: (256, 0)}[spec]
+        tokens, lossy = map(sum, zip(*box))
+        assert len(box) <= capacity // 16 and lossy <= tokens <= capacity - separator * (len(box) - 1)
