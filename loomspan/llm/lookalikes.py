@@ -142,6 +142,8 @@ def lookalike_classes(counts: dict[str, int]) -> dict[str, str]:
             spelt[whole] = spelt.get(whole, 0) + counts.get(m, 0)
 
     def best_of(members: list[str]) -> str:
+        # the empty string and the blank have no frequency of their own: the one stands between any two
+        # characters, the other is what every text without layout has; both always represent
         return "" if "" in members else " " if " " in members else min(members, key=lambda m: (-spelt[m], len(m), m))
 
     chosen, best_by = {}, []
@@ -257,6 +259,24 @@ def same_look_pairs(forms: DataFrame, salts: int = 8) -> DataFrame:
     return pairs.select("src_table", "src_field", F.col("key_1").alias("key_a"), F.col("key_2").alias("key_b"))
 
 
+def look_classes(forms: DataFrame, salts: int = 8) -> DataFrame:
+    """One row for each row that looks like a different text: src_table, src_field, key, class_id, n_links.
+
+    The same links as :func:`same_look_pairs` without any pair: class_id is the
+    least key of the form, n_links the number of rows that look the same and
+    aren't the same text.  Values of one form are counted first and joined in
+    ``salts`` groups.
+    """
+    group = ["src_table", "src_field", "form"]
+    salt = lambda column: F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    per = forms.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    classes = per.groupBy(*group).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_values"), F.min("first").alias("class_id")).where("n_values > 1")
+    linked = per.withColumn("salt", salt("value")).join(classes.withColumn("salt", every), [*group, "salt"]).select(*group, "value", "class_id", (F.col("total") - F.col("n")).alias("n_links"))
+    rows = forms.withColumn("salt", salt("key")).join(linked.withColumn("salt", every), [*group, "value", "salt"])
+    return rows.select("src_table", "src_field", "key", "class_id", "n_links")
+
+
 def memory_values(read) -> DataFrame:
     """The three text fields as src_table, src_field, key, text."""
     parts = [("memory_events", "ingest_order", "text"), ("concepts", "id", "label"), ("concepts", "id", "canonical_key")]

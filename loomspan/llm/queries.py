@@ -34,6 +34,10 @@ def p5_found(spark, d):
     return lookalikes.same_look_pairs(stage(_forms(spark, d, False).select("src_table", "src_field", "key", "form", "value")))
 
 
+def p5_classes(spark, d):
+    return lookalikes.look_classes(stage(_forms(spark, d, False).select("src_table", "src_field", "key", "form", "value")))
+
+
 def p5_forms(spark, d):
     return _forms(spark, d, True).where("changed").select("src_table", "src_field", "key", F.col("form_text").alias("form"))
 
@@ -71,5 +75,5 @@ def p8_rates(spark, d):
     return truncation.cut_rates(truncation.cut_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p2_report, p5_found, p5_forms, p5_counts, p6_packing, p6_fill, p7_draw, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p2_report, p5_found, p5_classes, p5_forms, p5_counts, p6_packing, p6_fill, p7_draw, p7_shares, p8_found, p8_rates)}
 ORACLES: dict[str, str] = {}
