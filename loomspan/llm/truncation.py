@@ -1,20 +1,22 @@
 """Texts that were cut by a field limit or a broken transfer.
 
 A backward character n-gram model, trained on the corpus itself.  Texts fall
-into units: the lines of a text, or the string values of a JSON document.  At
+into units: the lines of a text, or the whole of a JSON document.  At
 every place of every unit the characters before it, read backwards, are counted
 as the context of an end (at the unit's end) or of a continuation (elsewhere),
-apart for each shape of line.  The final context of a text then has a likelihood
+apart for each shape that the line has up to there.  The final context of a text then has a likelihood
 under either; its log-odds, with the share of cut texts that the mixture of both
 gives for each language, decide.  A text's own end isn't counted for it.
 
 What a carrier puts behind a cut (blanks, dots, closing quotes, a bracketed
-remark) is taken off first.  A bracket, quotation or JSON structure that is
-opened and never closed is unfinished without any model.
+remark) is taken off first.  How a text's structure ends (a bracket, quotation or
+JSON structure left open, a broken character) is one more piece of evidence: the
+same mixture estimates how often whole and cut texts end in each state, and the
+log of that ratio adds to the log-odds.
 
 Only contexts that end some text matter, and long ones only if they end two; each
-task counts those in a filter of FILTER_BITS bits and sends one row for each.
-Short contexts are few whatever the corpus, so what a task sends stays bounded.
+task tests its contexts with a filter of their keys and sends one row for each
+that it met.
 """
 
 from __future__ import annotations
@@ -31,21 +33,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import bitfilter
 from loomspan.runtime import stage
 
 ORDERS = (0, 2, 3, 4, 6, 9, 14)
-FILTER_BITS = 1 << 24
 #: From this place in ORDERS on, only contexts that end two texts or more are counted.
 LONG = 5
 #: Weight, in places, of the shorter context in the estimate of the longer; places that a longer one needs.
 SMOOTHING, FREQUENT = 10.0, 8
-#: Longer texts that are equal count once; short remarks may recur.
-SHORT = 80
 SALTS = 16
 #: Weight, in texts, of the common share of cut texts in the estimate for one language.
 PRIOR_TEXTS = 200
 _PAD = max(ORDERS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*("?)|[\[{\]}]', re.S)
 _REMARK = re.compile(r"(?:[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
 
 
@@ -64,68 +65,92 @@ def strip_carrier(text: str) -> str:
     return text
 
 
-def line_shape(line: str) -> str:
-    """``prose`` for a line of six words or more that begins like a sentence; else the first characters as a pattern.
+def line_shapes(line: str) -> list[tuple[int, str]]:
+    """The shapes of all beginnings of a line: (length from which on, shape), in order.
 
-    In the pattern A is upper case, a lower case, 0 digits, the rest as it is.
+    A beginning of six words or more that starts like a sentence is ``prose``;
+    any other has its first characters as a pattern of at most five runs, where
+    A is upper case, a lower case, 0 digits, the rest as it is.  A line that is
+    cut looks like one of its beginnings, so a place inside a line counts for
+    the shape of what stands before it.
     """
+    shapes, pattern, last = [], "", ""
+    for i, c in enumerate(line[:24]):
+        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        if kind != last:
+            pattern, last = pattern + kind, kind
+            shapes.append((i + 1, pattern))
+            if len(pattern) == 5:
+                break
     bare = line.lstrip("«»\"“ ¿¡")
-    if bare.count(" ") >= 5 and bare[0].isupper():
-        return "prose"
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in line[:24]]
-    runs = "".join(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])
-    return runs[:5]
+    if bare and bare[0].isupper():
+        words = bare.split(" ", 5)
+        if len(words) == 6:
+            shapes.append((len(line) - len(words[5]), "prose"))
+    return shapes or [(0, "")]
 
 
-def json_strings(text: str) -> tuple[list[str], bool]:
-    """The string values and names of a JSON-like text, and whether a string or bracket stays open."""
-    found, depth, i = [], 0, 0
-    for m in re.finditer(r'"((?:[^"\\]|\\.)*)("?)|[\[{]|[\]}]', text, re.S):
+def json_is_open(text: str) -> bool:
+    """Whether a string or bracket of a JSON-like text stays open."""
+    depth = 0
+    for m in _JSON_PARTS.finditer(text):
         if m[0][0] == '"':
-            found.append(m[1])
-            if not m[2]:
-                return found, True
+            if not m[1]:
+                return True
         else:
             depth += 1 if m[0] in "[{" else -1
-    return found, depth > 0
+    return depth > 0
 
 
-def units_of(text: str, last_only: bool = False) -> list[tuple[str, str]]:
-    """(shape, characters) of each unit of a text, or of its last one."""
+def units_of(text: str, last_only: bool = False) -> list[tuple[list[tuple[int, str]], str]]:
+    """(shapes of its beginnings, characters) of each unit of a text, or of its last one."""
     bare = text.strip()
     if _is_json(bare):
-        strings = [s for s in json_strings(bare)[0] if len(s) > 12]
-        return [("{", strip_carrier(s)) for s in (strings[-1:] if last_only else strings)] or [("{", "")]
+        return [([(0, "{")], strip_carrier(bare))]
     kept = strip_carrier(text)
     lines = [kept[kept.rfind("\n") + 1 :]] if last_only else [x for x in kept.split("\n") if x and not x.isspace()]
-    return [(line_shape(x), strip_carrier(x)) for x in lines] or [("", "")]
+    return [(line_shapes(x), strip_carrier(x)) for x in lines] or [([(0, "")], "")]
 
 
 def _is_json(bare: str) -> bool:
     return bare[:1] in ("{", "[") and '"' in bare[:40]
 
 
-def is_unfinished(text: str) -> bool:
-    """Whether a bracket, quotation or JSON structure stays open, or the last character is a broken one."""
+def structure_of(text: str) -> str:
+    """How the structure of a text ends: ``json`` or ``json_open``, ``broken`` (a broken last character), ``quote_open``, ``bracket_open`` or ``plain``."""
     bare = text.strip()
     if _is_json(bare):
-        return json_strings(bare)[1]
+        return "json_open" if json_is_open(bare) else "json"
     kept = strip_carrier(text)
-    if "�" in text[len(kept) :] or text.count("«") > text.count("»"):
-        return True
+    if "�" in text[len(kept) :]:
+        return "broken"
     last, said = bare.rsplit("\n", 1)[-1], kept.rsplit("\n", 1)[-1]
-    return last.count('"') % 2 == 1 and '="' in last or said.count("(") > said.count(")")
+    if text.count("«") > text.count("»") or last.count('"') % 2 == 1 and '="' in last:
+        return "quote_open"
+    return "bracket_open" if said.count("(") > said.count(")") else "plain"
+
+
+def is_unfinished(text: str) -> bool:
+    """Whether the structure of a text stays open, or its last character is a broken one."""
+    return structure_of(text) not in ("plain", "json")
 
 
-def _codes(units: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all units with _PAD zeros before each, the place of each unit's last one, and the shapes' hashes."""
+def _codes(units: list[tuple[list[tuple[int, str]], str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all units with _PAD zeros before each, the place of each unit's last one, and at each place the hash of the shape up to it."""
     zeros = "\0" * _PAD
     flat = zeros + zeros.join(u for _, u in units)
     codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     codes[(codes >= 48) & (codes < 58)] = 48
-    sizes = np.array([len(u) + _PAD for _, u in units])
-    shapes = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s, _ in units], dtype=np.uint64)
-    return codes, np.cumsum(sizes) - 1, np.repeat(shapes, sizes)
+    names: dict[str, int] = {}
+    hashes, widths = [], []
+    for shapes, unit in units:
+        # the last shape that begins within the unit reaches to its end, the first one from its start
+        size, upto = len(unit) + _PAD, [min(start, len(unit) + 1) for start, _ in shapes[1:]]
+        edges = [0, *(_PAD + start - 1 for start in upto), size]
+        widths += [b - a for a, b in zip(edges, edges[1:])]
+        hashes += [names.setdefault(x, zlib.crc32(x.encode("utf-8", "surrogatepass"))) for _, x in shapes]
+    ends = np.cumsum([len(u) + _PAD for _, u in units]) - 1
+    return codes, ends, np.repeat(np.array(hashes, dtype=np.uint64), widths)
 
 
 def _mixed(h: np.ndarray, shape: np.ndarray, order: int) -> np.ndarray:
@@ -135,7 +160,7 @@ def _mixed(h: np.ndarray, shape: np.ndarray, order: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def final_keys(units: list[tuple[str, str]]) -> np.ndarray:
+def final_keys(units: list[tuple[list[tuple[int, str]], str]]) -> np.ndarray:
     """The keys of each order of each unit's end, a row for each unit."""
     codes, ends, shapes = _codes(units)
     shapes = shapes[ends]
@@ -151,7 +176,7 @@ def final_keys(units: list[tuple[str, str]]) -> np.ndarray:
 
 
 def final_contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, unfinished, digest and the keys of each order of a text's final context."""
+    """doc_id, lang, source, structure, digest and the keys of each order of a text's final context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +190,11 @@ def final_contexts(docs: DataFrame) -> DataFrame:
             digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             empty = [not u for _, u in last]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array([is_unfinished(t) for t in texts], pa.bool_()), pa.array(empty, pa.bool_()), pa.array([len(t) > SHORT for t in texts], pa.bool_()), pa.array(digests, pa.binary()), lists],
-                names=["doc_id", "lang", "source", "unfinished", "empty", "long", "digest", "keys"],
+                [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array([structure_of(t) for t in texts], pa.string()), pa.array(empty, pa.bool_()), pa.array(digests, pa.binary()), lists],
+                names=["doc_id", "lang", "source", "structure", "empty", "digest", "keys"],
             )
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, unfinished boolean, empty boolean, long boolean, digest binary, keys array<long>")
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, structure string, empty boolean, digest binary, keys array<long>")
 
 
 def wanted_keys(contexts: DataFrame) -> DataFrame:
@@ -179,12 +204,9 @@ def wanted_keys(contexts: DataFrame) -> DataFrame:
 
 
 def wanted_filter(wanted: DataFrame) -> bytes:
-    """Bits of all wanted keys; FILTER_BITS bits, whatever the corpus."""
-    word = wanted.selectExpr(f"cast(pmod(key, {FILTER_BITS}L) >> 6 AS int) AS word", "shiftleft(1L, cast(key & 63 AS int)) AS bits")
-    merged = word.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    table[merged.column("word").to_numpy()] = merged.column("bits").to_numpy()
-    return table.tobytes()
+    """A filter of all wanted keys, sized by their number."""
+    bits = bitfilter.filter_bits(wanted.count())
+    return bitfilter.build(wanted.selectExpr(f"key & {bits - 1}L AS at"), bits)
 
 
 def context_counts(docs: DataFrame, wanted) -> DataFrame:
@@ -194,7 +216,7 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, dtype=np.uint8)
+        bits = wanted.value
         kept: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -206,7 +228,7 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
             at_end = np.bincount(codes[ends], minlength=len(unique))
             return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(at_end), pa.array(counts - at_end)], names=["key", "n_end", "n_on"])
 
-        waiting: list[tuple[str, str]] = []
+        waiting: list[tuple[list[tuple[int, str]], str]] = []
         size = held = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -228,7 +250,7 @@ def context_counts(docs: DataFrame, wanted) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n_end long, n_on long").groupBy("key").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
 
 
-def _select(units: list[tuple[str, str]], bits: np.ndarray, kept: list) -> int:
+def _select(units: list[tuple[list[tuple[int, str]], str]], bits: bytes, kept: list) -> int:
     """Adds the wanted contexts of the units; a place is followed to a longer context only if the shorter is wanted."""
     codes, ends, shapes = _codes(units)
     is_end = np.zeros(len(codes), dtype=bool)
@@ -243,8 +265,7 @@ def _select(units: list[tuple[str, str]], bits: np.ndarray, kept: list) -> int:
                 power = power * _BASE
             done = order
             keys = _mixed(h, shapes, order)
-            place = keys & np.uint64(FILTER_BITS - 1)
-            inside = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            inside = np.flatnonzero(bitfilter.inside(bits, keys & np.uint64(len(bits) * 8 - 1)))
             at, h, shapes, is_end = at[inside], h[inside], shapes[inside], is_end[inside]
             kept.append((keys[inside], is_end))
             held += len(inside)
@@ -274,7 +295,7 @@ def _log_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def end_log_odds(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, language, unfinished, empty and log_odds: log-likelihood of the final context under an end less that under a continuation.
+    """doc_id, lang, source, language, structure, empty and log_odds: log-likelihood of the final context under an end less that under a continuation.
 
     Two rounds: the second is trained without the texts that the first calls
     more likely cut than whole, so that cut ends don't pass for ends.  Counts
@@ -283,60 +304,66 @@ def end_log_odds(docs: DataFrame) -> DataFrame:
     contexts = stage(final_contexts(docs))
     wanted = stage(wanted_keys(contexts))
     bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
-    again = contexts.where("long").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    left_out = stage(contexts.where("long").join(again, "digest").where("doc_id <> first").select("doc_id"))
+    again = contexts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    left_out = stage(contexts.join(again, "digest").where("doc_id <> first").select("doc_id"))
     counted = docs.join(left_out, "doc_id", "left_anti")
     counts = stage(wanted.join(context_counts(counted, bits), "key", "left").na.fill(0, ["n_end", "n_on"]))
     first = _log_odds(contexts.withColumn("own", F.lit(1)), counts)
-    doubtful = stage(contexts.select("doc_id", "unfinished").join(first, "doc_id").where("unfinished OR log_odds < 0").select("doc_id", F.lit(0).alias("own")))
+    doubtful = stage(contexts.select("doc_id", "structure").join(first, "doc_id").where("log_odds < 0 OR structure NOT IN ('plain', 'json')").select("doc_id", F.lit(0).alias("own")))
     theirs = context_counts(counted.join(doubtful, "doc_id", "left_semi"), bits).withColumnsRenamed({"n_end": "less_end", "n_on": "less_on"})
     rest = counts.join(theirs, "key", "left").select("key", "place", (F.col("n_end") - F.coalesce("less_end", F.lit(0))).alias("n_end"), (F.col("n_on") - F.coalesce("less_on", F.lit(0))).alias("n_on"))
     mine = contexts.join(doubtful, "doc_id", "left").na.fill(1, ["own"])
     second = _log_odds(mine, rest)
-    return contexts.select("doc_id", "lang", "source", language(F.col("lang")).alias("language"), "unfinished", "empty").join(second, "doc_id")
+    return contexts.select("doc_id", "lang", "source", language(F.col("lang")).alias("language"), "structure", "empty").join(second, "doc_id")
 
 
-def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
-    """Threshold on the log-odds of each language, and one for all of them together.
+def estimated(odds: DataFrame) -> tuple[dict[str, float], float, dict[str, float]]:
+    """Threshold on the log-odds of each language, one for all of them together, and what each structure adds to them.
 
     A text is cut if that is likelier than not, so the threshold is the logit of
     the share of cut texts.  Expectation-maximisation over a histogram of the
-    log-odds estimates it.  The common share counts as PRIOR_TEXTS texts of every
-    language, so a small one stays near it and a large one follows its own texts.
+    log-odds by language and structure estimates the shares and how often cut
+    and whole texts end in each structure.  The common share counts as
+    PRIOR_TEXTS texts of every language, so a small one stays near it and a large
+    one follows its own texts; that is one formula for languages of every size.
     """
-    bins = odds.where("NOT unfinished AND NOT empty").groupBy("language", F.round(F.col("log_odds") * 4).cast("int").alias("bin")).count().collect()
-    everything: dict[int, int] = {}
-    by: dict[str, dict[int, int]] = {}
-    for r in bins:
-        by.setdefault(r["language"], {})[r["bin"]] = r["count"]
-        everything[r["bin"]] = everything.get(r["bin"], 0) + r["count"]
+    bins = odds.where("NOT empty").groupBy("language", "structure", F.round(F.col("log_odds") * 4).cast("int").alias("bin")).count().collect()
+    cells = [(r["language"], r["structure"], r["bin"] / 4, r["count"]) for r in bins]
+    languages, kinds, total = sorted({c[0] for c in cells}), sorted({c[1] for c in cells}), sum(c[3] for c in cells)
+    common, share, adds = 0.05, dict.fromkeys(languages, 0.05), dict.fromkeys(kinds, 0.0)
+    logit = lambda p: math.log(p / (1 - p))
+    for _ in range(200):
+        cut_of, whole_of, cut_in, n_in = dict.fromkeys(kinds, 0.5), dict.fromkeys(kinds, 0.5), dict.fromkeys(languages, 0.0), dict.fromkeys(languages, 0)
+        for lang, kind, b, n in cells:
+            cut = n / (1 + math.exp(min(700.0, b + adds[kind] - logit(share[lang]))))
+            cut_of[kind] += cut
+            whole_of[kind] += n - cut
+            cut_in[lang] += cut
+            n_in[lang] += n
+        # texts of the usual share are added, so that a share is never 0 or 1
+        common = (0.05 + sum(cut_in.values())) / (1 + total)
+        share = {lang: (PRIOR_TEXTS * common + cut_in[lang]) / (PRIOR_TEXTS + n_in[lang]) for lang in languages}
+        adds = {k: math.log(whole_of[k] / sum(whole_of.values()) / (cut_of[k] / sum(cut_of.values()))) for k in kinds}
+    return {lang: logit(p) for lang, p in share.items()}, logit(common), adds
 
-    def cut_share(counts: dict[int, int], usual: float, weight: float) -> float:
-        share, total = usual, sum(counts.values())
-        for _ in range(200):
-            # texts of the usual share are added, so that a share is never 0 or 1
-            share = (weight * usual + sum(n * share / (share + (1 - share) * math.exp(b / 4)) for b, n in counts.items())) / (total + weight)
-        return share
 
-    logit = lambda share: math.log(share / (1 - share))
-    common = cut_share(everything, 0.05, 1)
-    return {lang: logit(cut_share(c, common, PRIOR_TEXTS)) for lang, c in by.items()}, logit(common)
+def thresholds(odds: DataFrame) -> tuple[dict[str, float], float]:
+    """The thresholds of :func:`estimated` by the log-odds alone, over texts whose structure isn't unfinished."""
+    return estimated(odds.where("NOT unfinished").withColumn("structure", F.lit("plain")))[:2]
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, language, log_odds, threshold and cut for every text.
+    """doc_id, lang, source, language, structure, log_odds, threshold and cut for every text.
 
     ``docs`` has doc_id, lang, source, text.  A null text gives no row, an empty
-    or blank one isn't cut.  Texts with an unfinished structure are cut whatever
-    their log-odds.
+    or blank one isn't cut.  log_odds are those of the final context and the
+    structure together.
     """
     odds = stage(end_log_odds(docs))
-    by_language, common = thresholds(odds)
-    threshold = F.lit(common)
-    for lang, value in by_language.items():
-        threshold = F.when(F.col("language") == lang, value).otherwise(threshold)
-    out = odds.withColumn("threshold", threshold)
-    return out.withColumn("cut", F.col("unfinished") | ~F.col("empty") & (F.col("log_odds") < F.col("threshold")))
+    by_language, common, adds = estimated(odds)
+    chosen = lambda column, values, other: F.coalesce(*(F.when(F.col(column) == k, F.lit(v)) for k, v in values.items()), F.lit(other))
+    out = odds.withColumn("log_odds", F.col("log_odds") + chosen("structure", adds, 0.0)).withColumn("threshold", chosen("language", by_language, common))
+    return out.withColumn("cut", ~F.col("empty") & (F.col("log_odds") < F.col("threshold")))
 
 
 def cut_rates(cut: DataFrame) -> DataFrame:
