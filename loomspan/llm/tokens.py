@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 
 #: Byte-level BPE of 50 256 tokens; its place on every machine is a parameter of all functions here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_SENTENCE = re.compile(r"[^.!?…]*[.!?…]+(?=\s+\S)")
 
 
 def load_encoding(path: str):
@@ -30,9 +32,9 @@ def load_encoding(path: str):
 def token_sizes(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, tokens and loss_tokens of every text.
 
-    loss_tokens are those behind the first line, or all of a text of one line.
-    A null or empty text has 0 tokens.  Texts are tokenised whole, by lines: the
-    tokenizer joins no token across the end of the first line.
+    loss_tokens are those behind the text's prompt: its first line, or the first
+    sentence of a text of one line; a text of one sentence has no prompt.  A null
+    or empty text has 0 tokens.  Texts are tokenised whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,11 +42,13 @@ def token_sizes(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             sizes, losses = [], []
             for text in batch.column("text").to_pylist():
-                head, cut, rest = (text or "").partition("\n")
-                first = len(encode(head)) if head else 0
-                behind = len(encode(cut + rest)) if cut else 0
-                sizes.append(first + behind)
-                losses.append(behind or first)
+                text = text or ""
+                head, cut, _ = text.partition("\n")
+                if not cut:
+                    sentence = _SENTENCE.match(text)
+                    head = sentence[0] if sentence else ""
+                sizes.append(len(encode(text)))
+                losses.append(sizes[-1] - len(encode(head)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64()), pa.array(losses, pa.int64())], names=["doc_id", "source", "tokens", "loss_tokens"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, tokens long, loss_tokens long")

@@ -42,12 +42,14 @@ LONG = 5
 #: Weight, in places, of the shorter context in the estimate of the longer; places that a longer one needs.
 SMOOTHING, FREQUENT = 10.0, 8
 SALTS = 16
+#: Copies of a text, itself included, whose ends are not counted for it.
+COPIES = 4
 #: Weight, in texts, of the common share of cut texts in the estimate for one language.
 PRIOR_TEXTS = 200
 _PAD = max(ORDERS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*("?)|[\[{\]}]', re.S)
-_REMARK = re.compile(r"(?:[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
+_REMARK = re.compile(r"(?:[\[(<{]\s*(?:…|\.{2,}|\+\s*\d+[^\n()]*)\s*[\])>}]|[\[<]/?[^\W\d]+(?: [^\W\d]+)?[\]>]|(?:…|\.{2,})\s*\([^\W\d]+(?: [^\W\d]+)?\)|(?<=\n)\([^\W\d]+(?: [^\W\d]+)?\))\Z")
 
 
 def strip_carrier(text: str) -> str:
@@ -279,7 +281,7 @@ def language(lang: Column) -> Column:
 
 
 def _log_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, log_odds from the counts (key, place, n_end, n_on); a text that was counted (column own = 1) is taken out."""
+    """doc_id, log_odds from the counts (key, place, n_end, n_on); column own says how many ends of its own text are taken out."""
     # contexts of the lowest orders end many texts: their counts are repeated for SALTS groups of texts
     low = 3
     mine = contexts.select("doc_id", "own", F.posexplode("keys").alias("place", "key")).withColumn("salt", F.when(F.col("place") < low, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
@@ -304,16 +306,18 @@ def end_log_odds(docs: DataFrame) -> DataFrame:
     contexts = stage(final_contexts(docs))
     wanted = stage(wanted_keys(contexts))
     bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
-    again = contexts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    left_out = stage(contexts.join(again, "digest").where("doc_id <> first").select("doc_id"))
-    counted = docs.join(left_out, "doc_id", "left_anti")
-    counts = stage(wanted.join(context_counts(counted, bits), "key", "left").na.fill(0, ["n_end", "n_on"]))
-    first = _log_odds(contexts.withColumn("own", F.lit(1)), counts)
-    doubtful = stage(contexts.select("doc_id", "structure").join(first, "doc_id").where("log_odds < 0 OR structure NOT IN ('plain', 'json')").select("doc_id", F.lit(0).alias("own")))
-    theirs = context_counts(counted.join(doubtful, "doc_id", "left_semi"), bits).withColumnsRenamed({"n_end": "less_end", "n_on": "less_on"})
+    # a text's own end doesn't count for it, nor do those of up to COPIES copies; a remark that recurs often stays
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    again = contexts.groupBy("digest").agg(F.least(F.count(F.lit(1)), F.lit(COPIES)).cast("int").alias("copies")).where("copies > 1").withColumn("salt", every)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    owned = stage(contexts.withColumn("salt", salt).join(again, ["digest", "salt"], "left").select("doc_id", F.coalesce("copies", F.lit(1)).alias("own"), "keys"))
+    counts = stage(wanted.join(context_counts(docs, bits), "key", "left").na.fill(0, ["n_end", "n_on"]))
+    first = _log_odds(owned, counts)
+    doubtful = stage(contexts.select("doc_id", "structure").join(first, "doc_id").where("log_odds < 0 OR structure NOT IN ('plain', 'json')").select("doc_id"))
+    theirs = context_counts(docs.join(doubtful, "doc_id", "left_semi"), bits).withColumnsRenamed({"n_end": "less_end", "n_on": "less_on"})
     rest = counts.join(theirs, "key", "left").select("key", "place", (F.col("n_end") - F.coalesce("less_end", F.lit(0))).alias("n_end"), (F.col("n_on") - F.coalesce("less_on", F.lit(0))).alias("n_on"))
-    mine = contexts.join(doubtful, "doc_id", "left").na.fill(1, ["own"])
-    second = _log_odds(mine, rest)
+    taken = doubtful.withColumn("none", F.lit(0))
+    second = _log_odds(owned.join(taken, "doc_id", "left").withColumn("own", F.coalesce("none", "own")).drop("none"), rest)
     return contexts.select("doc_id", "lang", "source", language(F.col("lang")).alias("language"), "structure", "empty").join(second, "doc_id")
 
 
