@@ -15,10 +15,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Most element types for which inlining is worked out; beyond it every object keeps a row of its own.
+from loomspan.runtime import stage
+
+#: Most element types that are sent to the tasks as a set; more of them are joined instead, with the same rows.
 MAX_TYPES = 20_000
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -153,7 +157,7 @@ def objects(document, root_type: str, parse: Parser) -> Iterator[tuple]:
 
     Yields (parent, path, type, repeated, recursive, is_object, scalars).  parent
     is the number in this sequence of the enclosing object, None at the root;
-    scalars maps step to text.  The root comes first even if it is an array or a
+    scalars are pairs of step and text, repeated names among them.  The root comes first even if it is an array or a
     scalar.  Elements of a root array have the type ``<root>[]``, those of other
     arrays the type of the array's key.
     """
@@ -164,7 +168,7 @@ def objects(document, root_type: str, parse: Parser) -> Iterator[tuple]:
         if isinstance(value, list) and not isinstance(value, Members) and path != "$":
             stack.extend((_opened(x, parse), f"{path}[{i}]", kind, True, parent, kinds) for i, x in reversed(list(enumerate(value))))
             continue
-        scalars: dict[str, str | None] = {}
+        scalars: list[tuple[str, str | None]] = []
         below: list[tuple] = []
         inside = kinds if kind in kinds else kinds | {kind}
         if isinstance(value, Members):
@@ -173,11 +177,11 @@ def objects(document, root_type: str, parse: Parser) -> Iterator[tuple]:
                 if isinstance(child, list):
                     below.append((child, path + _step(name), name, False, number, inside))
                 else:
-                    scalars[_step(name)] = _text(child)
+                    scalars.append((_step(name), _text(child)))
         elif isinstance(value, list):
             below.extend((_opened(x, parse), f"$[{i}]", root_type + "[]", True, number, inside) for i, x in enumerate(value))
         else:
-            scalars[""] = _text(value)
+            scalars.append(("", _text(value)))
         yield parent, path, kind, repeated, kind in kinds, isinstance(value, Members), scalars
         number += 1
         stack.extend(reversed(below))
@@ -240,12 +244,12 @@ _ROWS = "src_table string, src_field string, src_key long, relation string, node
 def shred(docs: DataFrame, kept: set[tuple[str, str, str]] | None) -> DataFrame:
     """The rows of all relations: one for each object whose type has a table.
 
-    ``kept`` holds (src_table, src_field, type) of :func:`relations`; None keeps
-    a row for every object.  ``fields`` has the scalars of the object and of
-    those inlined into it, under their steps (``.a.b``); a scalar in an array is
-    a row with the one step ``""``.  parent_relation and parent_path are the
-    foreign key to the row that encloses it; element tells objects in arrays,
-    array_parent is the path of the nearest enclosing one, or ``$``.
+    ``kept`` holds (src_table, src_field, type) of :func:`relations`; None keeps a row for every object.
+    ``fields`` has the scalars of the object and of those inlined into it, under
+    their steps (``.a.b``; the second of one name is ``.a.b#2``); a scalar in an
+    array is a row with the one step ``""``.  parent_relation and parent_path
+    are the foreign key to the row that encloses it; element tells objects in
+    arrays, array_parent is the path of the nearest enclosing one, or ``$``.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +278,7 @@ def shred(docs: DataFrame, kept: set[tuple[str, str, str]] | None) -> DataFrame:
                         home.append(home[parent])
                         up = out[home[parent]]
                         prefix = path[len(up[4]) :]
-                        up[9].update((prefix + step, text) for step, text in scalars.items())
+                        up[9].extend((prefix + step, text) for step, text in scalars)
                 if len(out) > 20_000:
                     yield _shred_rows(out)
                     out = []
@@ -283,33 +287,111 @@ def shred(docs: DataFrame, kept: set[tuple[str, str, str]] | None) -> DataFrame:
     return docs.mapInArrow(rows, _ROWS)
 
 
+def _numbered(pairs: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
+    """The pairs with the second and later ones of a name numbered."""
+    met: dict[str, int] = {}
+    out = []
+    for step, text in pairs:
+        met[step] = n = met.get(step, 0) + 1
+        out.append((step if n == 1 else f"{step}#{n}", text))
+    return out
+
+
 def _shred_rows(out: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*out)) or [()] * 10
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string())]
     names = ["src_table", "src_field", "src_key", "relation", "node_path", "parent_relation", "parent_path", "element", "array_parent", "fields"]
-    data = [*columns[:9], [list(m.items()) for m in columns[9]]]
+    data = [*columns[:9], list(map(_numbered, columns[9]))]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data, kinds)], names=names)
 
 
-def kept_types(rel: DataFrame) -> set[tuple[str, str, str]] | None:
-    """The relations as a set for the tasks; None if there are more than MAX_TYPES."""
-    found = rel.select("src_table", "src_field", "relation").limit(MAX_TYPES + 1).collect()
-    return None if len(found) > MAX_TYPES else {tuple(r) for r in found}
+_OBJECTS = "src_table string, src_field string, src_key long, doc_no string, number int, above array<int>, relation string, node_path string, element boolean, array_parent string, pairs array<struct<step: string, text: string>>"
+
+
+def all_objects(docs: DataFrame) -> DataFrame:
+    """A row for every object, with the numbers of those above it; doc_no tells documents apart that have one key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse, task, doc_no = Parser(), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            out: list[dict] = []
+            for table, field, key, doc in zip(*(batch.column(c).to_pylist() for c in ("src_table", "src_field", "src_key", "doc"))):
+                try:
+                    parsed = parse(doc)
+                except ValueError:
+                    continue
+                doc_no += 1
+                above: list[list[int]] = []
+                nearest: list[str] = []
+                for number, (parent, path, kind, repeated, _, is_object, scalars) in enumerate(objects(parsed, field, parse)):
+                    element = repeated and is_object
+                    around = "$" if parent is None else nearest[parent]
+                    nearest.append(path if element else around)
+                    above.append([] if parent is None else [*above[parent], parent])
+                    out.append({"src_table": table, "src_field": field, "src_key": key, "doc_no": f"{task}-{doc_no}", "number": number, "above": above[-1], "relation": kind, "node_path": path, "element": element, "array_parent": around, "pairs": [{"step": a, "text": b} for a, b in scalars]})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    shape = to_arrow_schema(docs.sparkSession.createDataFrame([], _OBJECTS).schema)
+    return docs.mapInArrow(rows, _OBJECTS)
+
 
+def shred_by_join(docs: DataFrame, rel: DataFrame) -> DataFrame:
+    """The rows of :func:`shred` where the relations are too many to be sent to the tasks: they are joined.
 
-def inline(docs: DataFrame) -> DataFrame:
+    Every object looks for the nearest one above it whose type has a table.
+    """
+    raw = stage(all_objects(docs))
+    types = rel.select("src_table", "src_field", "relation", F.lit(True).alias("kept"))
+    rows = stage(raw.join(types, ["src_table", "src_field", "relation"], "left").na.fill(False, ["kept"]))
+    homes = rows.where("kept").select("doc_no", F.col("number").alias("up"), F.col("relation").alias("up_relation"), F.col("node_path").alias("up_path"))
+    nearest = rows.select("doc_no", "number", F.explode("above").alias("up")).join(homes, ["doc_no", "up"]).groupBy("doc_no", "number").agg(F.max(F.struct("up", "up_relation", "up_path")).alias("u"))
+    linked = rows.join(nearest, ["doc_no", "number"], "left")
+    prefixed = F.transform("pairs", lambda x: F.struct(F.concat(F.expr("substring(node_path, length(u.up_path) + 1)"), x["step"]).alias("step"), x["text"].alias("text")))
+    own = linked.select("doc_no", F.when(F.col("kept"), F.col("number")).otherwise(F.col("u.up")).alias("home"), "number", F.when(F.col("kept"), F.col("pairs")).otherwise(prefixed).alias("pairs"))
+    merged = own.groupBy("doc_no", "home").agg(F.array_sort(F.collect_list(F.struct("number", "pairs"))).alias("all")).withColumn("p", F.expr("flatten(transform(all, x -> x.pairs))"))
+    count = "size(filter(slice(p, 1, i + 1), y -> y.step = x.step))"
+    fields = F.expr(f"map_from_entries(transform(p, (x, i) -> struct(CASE WHEN {count} = 1 THEN x.step ELSE concat(x.step, '#', {count}) END, x.text)))")
+    merged = merged.select("doc_no", F.col("home").alias("number"), fields.alias("fields"))
+    out = linked.where("kept").join(merged, ["doc_no", "number"])
+    return out.select("src_table", "src_field", "src_key", "relation", "node_path", F.col("u.up_relation").alias("parent_relation"), F.col("u.up_path").alias("parent_path"), "element", "array_parent", "fields")
+
+
+def inline(docs: DataFrame, most_types: int = MAX_TYPES) -> DataFrame:
     """Rows of all relations of ``docs`` (src_table, src_field, src_key, doc) by shared inlining.
 
     A document that isn't well-formed JSON (null and empty included) gives no
-    rows; repeated rows give repeated results; names may be any string.
+    rows; repeated rows give repeated results; names may be any string.  At most
+    ``most_types`` relations are sent to the tasks, more of them are joined.
     """
-    return shred(docs, kept_types(relations(schema_graph(docs))))
+    rel = relations(schema_graph(docs)).select("src_table", "src_field", "relation")
+    found = rel.limit(most_types + 1).collect()
+    return shred_by_join(docs, rel) if len(found) > most_types else shred(docs, {tuple(r) for r in found})
 
 
-def relation_table(rows: DataFrame, src_table: str, src_field: str, relation: str, columns: list[str]) -> DataFrame:
-    """One relation as a flat table: src_key, node_path, the parent's relation and path, and a column per step."""
+def save_relations(rows: DataFrame, folder: str) -> None:
+    """All relations below one folder, each in a folder of its own, so that :func:`relation_table` reads that one alone."""
+    rows.write.partitionBy("src_table", "src_field", "relation").mode("error").parquet(folder)
+
+
+def relation_links(rows: DataFrame) -> DataFrame:
+    """Rows of each relation by the relation of their parent, and how many of the distinct parents are missing (none)."""
+    group = ["src_table", "src_field", "relation", "parent_relation"]
+    key = ["src_table", "src_field", "src_key", "parent_relation", "parent_path"]
+    per = rows.where("parent_path IS NOT NULL").groupBy("relation", *key).agg(F.count(F.lit(1)).alias("n"))
+    parents = rows.select("src_table", "src_field", "src_key", F.col("relation").alias("parent_relation"), F.col("node_path").alias("parent_path")).distinct().withColumn("there", F.lit(1))
+    met = per.join(parents, key, "left")
+    return met.groupBy(*group).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parents"), F.sum(F.col("there").isNull().cast("long")).alias("n_missing_parents"))
+
+
+def relation_table(rows: DataFrame, src_table: str, src_field: str, relation: str, columns: list[str] | None = None) -> DataFrame:
+    """One relation as a flat table: src_key, node_path, the parent's relation and path, and a column per step.
+
+    Without ``columns`` those that occur are found first (a row per step of the schema).
+    """
     own = rows.where((F.col("src_table") == src_table) & (F.col("src_field") == src_field) & (F.col("relation") == relation))
-    return own.select("src_key", "node_path", "parent_relation", "parent_path", *(F.col("fields")[c].alias(c.lstrip(".") or "value") for c in columns))
+    if columns is None:
+        columns = sorted(r[0] for r in own.select(F.explode(F.map_keys("fields"))).distinct().collect())
+    return own.select("src_key", "node_path", "parent_relation", "parent_path", *(F.col("fields")[c].alias(c.removeprefix(".") or "value") for c in columns))
 
 
 def relation_columns(rows: DataFrame) -> DataFrame:

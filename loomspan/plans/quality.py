@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from loomspan.operators import intervals, nested, references
-from loomspan.runtime import table
+from loomspan.runtime import stage, table
 
 
 def _docs(spark, d):
@@ -30,6 +30,15 @@ def p1_tables(spark, d):
     return nested.inline(_docs(spark, d)).select("src_table", "src_field", "src_key", "relation", "node_path", "parent_relation", "parent_path", F.to_json("fields").alias("fields_json"))
 
 
+def p1_links(spark, d):
+    return nested.relation_links(nested.inline(_docs(spark, d)))
+
+
+def p1_flat_sources(spark, d):
+    rows = stage(nested.inline(_docs(spark, d).where("src_field = 'source_json'")))
+    return nested.relation_table(rows, "memory_events", "source_json", "source_json")
+
+
 def p1_columns(spark, d):
     return nested.relation_columns(nested.inline(_docs(spark, d)))
 
@@ -46,7 +55,7 @@ def p4_counts(spark, d):
     return references.dangling_counts(partial(table, spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_schema_graph, p1_relations, p1_tables, p1_columns, p3_found, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_schema_graph, p1_relations, p1_tables, p1_links, p1_flat_sources, p1_columns, p3_found, p4_found, p4_counts)}
 
 _TRIM = r"regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 _LIVING = """
