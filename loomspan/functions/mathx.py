@@ -1,13 +1,14 @@
 """Bounded mathematics: column expressions where Spark has them, a closed evaluator for expressions in text."""
 
-from __future__ import annotations
-
 import ast
 import fractions
 import math
 import operator
+import re
 import statistics
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,56 +131,120 @@ def _size(x):
     return x
 
 
-def _value(node: ast.AST, depth: int, used: list[str]):
+def _fails(code: str):
+    def run(_):
+        raise _Problem(code)
+
+    return run
+
+
+def _power(a, b):
+    if abs(_whole(b)) > MAX_EXPONENT or isinstance(a, int) and a.bit_length() * abs(b) > MAX_BITS:
+        raise _Problem("numeric_limit")
+    return fractions.Fraction(a) ** b if b < 0 and isinstance(a, int) else a**b
+
+
+def _quotient(a, b):
+    whole = isinstance(a, (int, fractions.Fraction)) and isinstance(b, (int, fractions.Fraction))
+    return fractions.Fraction(a) / fractions.Fraction(b) if whole else a / b
+
+
+def _compiled(node: ast.AST, depth: int, slots: dict[int, int]):
+    """A function of the constants' list that gives the node's value; what isn't allowed fails when it is reached."""
     if depth > MAX_DEPTH:
-        raise _Problem("complexity_limit")
+        return _fails("complexity_limit")
     if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return _size(node.value)
+        slot = slots[node.col_offset]
+        return lambda constants: _size(constants[slot])
     if isinstance(node, ast.Name) and node.id in _CONSTANTS:
-        return _CONSTANTS[node.id]
+        fixed = _CONSTANTS[node.id]
+        return lambda _: fixed
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
-        x = _value(node.operand, depth + 1, used)
-        return -x if isinstance(node.op, ast.USub) else +x
+        inner, apply = _compiled(node.operand, depth + 1, slots), operator.neg if isinstance(node.op, ast.USub) else operator.pos
+        return lambda constants: apply(inner(constants))
     if isinstance(node, (ast.List, ast.Tuple)):
         if len(node.elts) > MAX_ITEMS:
-            raise _Problem("complexity_limit")
-        return [_value(x, depth + 1, used) for x in node.elts]
+            return _fails("complexity_limit")
+        items = [_compiled(x, depth + 1, slots) for x in node.elts]
+        return lambda constants: [f(constants) for f in items]
     if isinstance(node, ast.BinOp):
-        a, b = _value(node.left, depth + 1, used), _value(node.right, depth + 1, used)
-        if isinstance(a, list) or isinstance(b, list):
-            raise _Problem("type_error")
-        if isinstance(node.op, ast.Pow):
-            if abs(_whole(b)) > MAX_EXPONENT or isinstance(a, int) and a.bit_length() * abs(b) > MAX_BITS:
-                raise _Problem("numeric_limit")
-            return _size(fractions.Fraction(a) ** b if b < 0 and isinstance(a, int) else a**b)
-        if isinstance(node.op, ast.Div):
-            whole = isinstance(a, (int, fractions.Fraction)) and isinstance(b, (int, fractions.Fraction))
-            return _size(fractions.Fraction(a) / fractions.Fraction(b) if whole else a / b)
-        if type(node.op) in _BINARY:
-            return _size(_BINARY[type(node.op)](a, b))
+        left, right = _compiled(node.left, depth + 1, slots), _compiled(node.right, depth + 1, slots)
+        apply = _power if isinstance(node.op, ast.Pow) else _quotient if isinstance(node.op, ast.Div) else _BINARY.get(type(node.op))
+
+        def binary(constants):
+            a, b = left(constants), right(constants)
+            if type(a) is list or type(b) is list:
+                raise _Problem("type_error")
+            if apply is None:
+                raise _Problem("unsupported_syntax")
+            return _size(apply(a, b))
+
+        return binary
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALL and not node.keywords:
-        used.append(node.func.id)
-        args = [_value(x, depth + 1, used) for x in node.args]
-        try:
-            return _size(_CALL[node.func.id](*args))
-        except TypeError as e:
-            raise _Problem("argument_error") from e
-    raise _Problem("unsupported_syntax")
+        f, args = _CALL[node.func.id], [_compiled(x, depth + 1, slots) for x in node.args]
+
+        def call(constants):
+            values = [g(constants) for g in args]
+            try:
+                return _size(f(*values))
+            except TypeError as e:
+                raise _Problem("argument_error") from e
+
+        return call
+    return _fails("unsupported_syntax")
+
+
+def _program(text: str):
+    """(function of the constants, names of the functions) of a text, or its error code."""
+    try:
+        tree = ast.parse(text, mode="eval")
+    except (SyntaxError, MemoryError, RecursionError, ValueError):
+        return "syntax_error"
+    nodes = list(ast.walk(tree))
+    if len(nodes) > MAX_NODES:
+        return "complexity_limit"
+    constants = sorted((x for x in nodes if isinstance(x, ast.Constant) and type(x.value) in (int, float)), key=lambda x: x.col_offset)
+    used = sorted({x.func.id for x in nodes if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in _CALL})
+    return _compiled(tree.body, 0, {x.col_offset: i for i, x in enumerate(constants)}), used, [x.value for x in constants]
 
 
-def evaluate_text(text: str | None) -> dict | None:
-    """The value of an arithmetic expression, or an error code; text is parsed, never executed."""
+#: A number that stands alone: no part of a name, no exponent, no leading zero.
+_NUMBER = re.compile(r"(?<![\w.])(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?![\w.])")
+_SHAPES = 4096
+
+
+def evaluate_text(text: str | None, programs: dict | None = None) -> dict | None:
+    """The value of an arithmetic expression, or an error code; text is parsed, never executed.
+
+    ``programs`` keeps what texts of one shape (the same but for their numbers)
+    have in common, so that each shape is parsed once.
+    """
     if text is None:
         return None
     out = {"kind": None, "exact": None, "value": None, "approximation": None, "functions": [], "error": None}
     try:
         if len(text) > MAX_CHARS or not text.strip():
             raise _Problem("size_limit")
-        tree = ast.parse(text.strip(), mode="eval")
-        if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
-            raise _Problem("complexity_limit")
-        used: list[str] = []
-        x = _value(tree.body, 0, used)
+        bare = text.strip()
+        program = constants = None
+        if programs is not None and bare.isascii() and "\n" not in bare:
+            shape = _NUMBER.sub("#", bare)
+            program = programs.get(shape)
+            if program is None:
+                program = _program(bare)
+                # a shape whose every number stands alone; other texts are parsed each time
+                if type(program) is str or len(program[2]) != shape.count("#") or len(programs) >= _SHAPES:
+                    constants = None if type(program) is str else program[2]
+                else:
+                    programs[shape] = program
+            if constants is None and type(program) is not str:
+                constants = [float(x) if "." in x else int(x) for x in _NUMBER.findall(bare)]
+        else:
+            program = _program(bare)
+            constants = None if type(program) is str else program[2]
+        if type(program) is str:
+            raise _Problem(program)
+        x = program[0](constants)
         if isinstance(x, list):
             raise _Problem("type_error")
         if isinstance(x, fractions.Fraction) and x.denominator == 1:
@@ -189,14 +254,14 @@ def evaluate_text(text: str | None) -> dict | None:
             near = float(x)
         except OverflowError:
             near = None
-        out |= {"kind": kind, "exact": kind != "float", "value": f"{x:.15g}" if kind == "float" else str(x), "approximation": near, "functions": sorted(set(used))}
+        out |= {"kind": kind, "exact": kind != "float", "value": f"{x:.15g}" if kind == "float" else str(x), "approximation": near, "functions": program[1]}
     except _Problem as e:
         out["error"] = str(e)
-    except (SyntaxError, MemoryError, RecursionError):
+    except RecursionError:
         out["error"] = "syntax_error"
     except ZeroDivisionError:
         out["error"] = "division_by_zero"
-    except (OverflowError,):
+    except OverflowError:
         out["error"] = "numeric_limit"
     except (ValueError, statistics.StatisticsError):
         out["error"] = "domain_error"
@@ -204,7 +269,15 @@ def evaluate_text(text: str | None) -> dict | None:
 
 
 RESULT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("approximation", T.DoubleType()), T.StructField("functions", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
-evaluate = F.udf(evaluate_text, RESULT, useArrow=True)
+_ARROW_RESULT = pa.struct([("kind", pa.string()), ("exact", pa.bool_()), ("value", pa.string()), ("approximation", pa.float64()), ("functions", pa.list_(pa.string())), ("error", pa.string())])
+
+
+@F.arrow_udf(RESULT)
+def evaluate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """:func:`evaluate_text` of a text column, by batches; each task parses a shape of text once."""
+    programs: dict = {}
+    for batch in batches:
+        yield pa.array([evaluate_text(t, programs) for t in batch.to_pylist()], _ARROW_RESULT)
 
 
 FAMILIES = ("sum_product", "gcd", "comb", "sqrt", "mean", "sin_cos", "floor", "isqrt", "hypot", "log2")
