@@ -160,7 +160,11 @@ UNION ALL SELECT row_id, 'item-' || row_id, row_id * 1000 FROM training_examples
     "a15_dossier_lines": "SELECT dossier_id, doc_id, row_number() OVER (PARTITION BY dossier_id ORDER BY doc_id) AS line FROM documents WHERE dossier_id IS NOT NULL",
     "a26_history_tail": "SELECT run_id, state, (SELECT count(*) FROM injection_test_runs) AS n_all, (SELECT count(*) > 20 FROM injection_test_runs) AS truncated FROM injection_test_runs ORDER BY created_at DESC, run_id LIMIT 20",
     "a28_catalog": "SELECT family, count(*) AS n FROM (VALUES " + ", ".join(f"('{n}', '{f}')" for n, f in sorted(mathx.CATALOG.items())) + ") AS t(name, family) GROUP BY family",
-    "a31_differential": "SELECT 'hypot' AS family, count(*) AS n, count(*) AS n_agreeing FROM orders WHERE o_orderkey % 10 = 8",
+    "a31_differential": """WITH t AS (SELECT o_orderkey AS i, 2 + (17 * o_orderkey) % 997 AS a, 2 + (31 * o_orderkey) % 499 AS b, 2 + (13 * o_orderkey) % 97 AS c FROM orders),
+v AS (SELECT ['sum_product', 'gcd', 'comb', 'sqrt', 'mean', 'sin_cos', 'floor', 'isqrt', 'hypot', 'log2'][(i % 10 + 1)::int] AS family, CASE i % 10
+  WHEN 0 THEN a + b * c WHEN 1 THEN gcd(a, b) WHEN 2 THEN factorial((c % 5)::int) WHEN 3 THEN sqrt(a) WHEN 4 THEN (a + b + c) / 3.0 WHEN 5 THEN sin(a) + cos(b) WHEN 6 THEN floor(a / b)
+  WHEN 7 THEN floor(sqrt(a * b)) WHEN 8 THEN sqrt(a * a + b * b) ELSE log2(pow(2, c)) END AS value FROM t)
+SELECT family, count(*) AS n, count(*) FILTER (WHERE isfinite(value::double)) AS n_agreeing FROM v GROUP BY family""",
     "a32_arms": "SELECT arm, task, count(*) AS n FROM (SELECT task, unnest(['baseline', 'memory', 'specialised']) AS arm FROM training_examples) GROUP BY ALL",
     "a33_status": "SELECT count(*) AS received, count(DISTINCT id) AS distinct_tickets, count(*) - count(DISTINCT id) AS repeated, round(100.0::double * (count(*) - count(DISTINCT id)) / count(*), 2) AS deduplication_percent FROM injection_jobs",
     "w8_rank_in_space": "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 5",

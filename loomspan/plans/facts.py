@@ -263,18 +263,27 @@ SELECT entity, predicate, fact_id, previous_id, 'interval_from_previous' AS kind
 UNION ALL SELECT entity, predicate, fact_id, previous_id, 'absolute_change', round(object - po, 6) FROM pairs WHERE object - po IS NOT NULL
 UNION ALL SELECT entity, predicate, fact_id, previous_id, 'percent_change', round((object - po) / abs(po) * 100, 6) FROM pairs WHERE po <> 0 AND object IS NOT NULL
 UNION ALL SELECT entity, predicate, fact_id, previous_id, 'annual_rate', round((object - po) / (days / 365.2425), 6) FROM pairs WHERE days > 0 AND object - po IS NOT NULL""",
-    "f17_durations": r"""WITH spans AS (
-  SELECT DISTINCT statement_id, trim(temporal_start) AS s, trim(temporal_end) AS e FROM claims WHERE regexp_matches(trim(temporal_start), '^\d{4}$') AND regexp_matches(trim(temporal_end), '^\d{4}$'))
-SELECT statement_id, 'duration_years' AS kind, (e::bigint - s::bigint)::double AS value, false AS exact FROM spans WHERE e::bigint >= s::bigint
-UNION ALL SELECT statement_id, 'temporal_midpoint', (s::bigint + e::bigint) / 2.0, false FROM spans WHERE e::bigint >= s::bigint""",
+    "f17_durations": r"""WITH raw AS (SELECT DISTINCT statement_id, trim(temporal_start) AS s, trim(temporal_end) AS e FROM claims),
+bounds AS (
+  SELECT statement_id, side, v, try_cast(substr(v, 1, 4) || '-' || CASE WHEN length(v) > 4 THEN substr(v, 6, 2) ELSE '01' END || '-' || CASE WHEN length(v) > 7 THEN substr(v, 9, 2) ELSE '01' END AS date) AS day, s, e
+  FROM (SELECT statement_id, s, e, unnest(['s', 'e']) AS side, unnest([s, e]) AS v FROM raw) WHERE regexp_matches(v, '^\d{4}(-\d{2}(-\d{2}([Zz]|T.*)?)?)?$')
+),
+placed AS (
+  SELECT statement_id, s, e, side, CASE WHEN length(v) = 4 THEN 9 WHEN year(day) < 1 OR day IS NULL THEN NULL WHEN length(v) = 7 THEN 10 ELSE 11 END AS p,
+    CASE length(v) WHEN 4 THEN substr(v, 1, 4)::bigint WHEN 7 THEN year(day) * 12 + month(day) - 1 ELSE (day - DATE '0001-01-01')::bigint + 306 END AS at FROM bounds
+),
+spans AS (
+  SELECT DISTINCT a.statement_id, a.p, a.at AS lo, b.at AS hi FROM placed a JOIN placed b ON a.statement_id = b.statement_id AND a.s = b.s AND a.e = b.e AND a.p = b.p AND a.side = 's' AND b.side = 'e' WHERE b.at >= a.at
+)
+SELECT statement_id, CASE p WHEN 9 THEN 'duration_years' WHEN 10 THEN 'duration_months' ELSE 'duration_days' END AS kind, (hi - lo)::double AS value, p = 11 AS exact FROM spans
+UNION ALL SELECT statement_id, 'temporal_midpoint', (lo + hi) / 2.0, p = 11 FROM spans""",
     "j13_two_hops": "SELECT 'order-' || o_orderkey AS first_id, 'line-' || l_orderkey || '-' || l_linenumber AS second_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
-    "u4_reference_cycles": """WITH edges AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_partkey IN (SELECT l_suppkey FROM lineitem)),
-loops AS (
-  SELECT s AS node, 1 AS length FROM edges WHERE s = o
-  UNION ALL SELECT a.s, 2 FROM edges a JOIN edges b ON a.o = b.s AND b.o = a.s WHERE a.s <> a.o
-  UNION ALL SELECT a.s, 3 FROM edges a JOIN edges b ON a.o = b.s JOIN edges c ON b.o = c.s AND c.o = a.s WHERE a.s <> a.o AND a.s <> b.o
+    "u4_reference_cycles": """WITH RECURSIVE edges AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_partkey IN (SELECT l_suppkey FROM lineitem)),
+walks AS (
+  SELECT s AS node, o AS reached, 1 AS length FROM edges
+  UNION SELECT w.node, e.o, w.length + 1 FROM walks w JOIN edges e ON w.reached = e.s WHERE w.reached <> w.node AND w.length < (SELECT count(DISTINCT s) FROM edges)
 )
-SELECT node, min(length)::integer AS length FROM loops GROUP BY node""",
+SELECT node, min(length)::integer AS length FROM walks WHERE node = reached GROUP BY node""",
     "f14_day_numbers": """WITH d AS (SELECT DISTINCT l_shipdate::date AS ship_day FROM lineitem)
 SELECT ship_day, (ship_day - DATE '0001-01-01')::bigint + 306 AS day_number, (year(ship_day) % 4 = 0 AND (year(ship_day) % 100 <> 0 OR year(ship_day) % 400 = 0)) AS leap,
   day(last_day(ship_day))::integer AS month_days, (4000 - year(ship_day)) || ' AEC' AS label FROM d""",

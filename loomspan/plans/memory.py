@@ -145,7 +145,7 @@ FROM memory_events WHERE idempotency_key IS NOT NULL AND trim(idempotency_key) <
   min(created_at) AS first_seen, max(created_at) AS last_seen FROM spans GROUP BY length, pattern, context_signature, next_token""",
     "a2_decayed_support": f"""WITH {GRAMS} SELECT length, pattern, next_token,
   round(sum(pow(0.5, greatest(floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(created_at)), 0) / 86400.0 / 30.0)), 4) AS decayed_support
-FROM spans WHERE length = 1 GROUP BY length, pattern, next_token""",
+FROM spans GROUP BY length, pattern, next_token""",
     "w5_lineage": f"WITH {GRAMS} SELECT id, episode, ingest_order, ordinal, length, created_at FROM spans WHERE pattern = 'la' AND next_token = 'mesure' ORDER BY ingest_order DESC, ordinal DESC LIMIT 25",
     "w6_paths": f"""WITH {EVENTS},
 occ AS (SELECT episode, ingest_order, unnest(tokens) AS token, unnest(range(len(tokens))) AS ordinal FROM ev),
