@@ -65,6 +65,13 @@ def concept_keys(text: Column) -> Column:
     return tokens(normalised(text))
 
 
+def token_list(text: str) -> list[str]:
+    """The normalised tokens of one text, as :func:`concept_keys` gives them."""
+    import regex
+
+    return regex.findall(TOKEN, normalise_token_text(text))
+
+
 @F.udf(T.StringType(), useArrow=True)
 def normalise_token(value):
     """The exact token rule as a UDF, for text with ligatures."""
@@ -104,6 +111,17 @@ def hash_number(text: Column, modulus: int) -> Column:
     return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(modulus)).cast("long")
 
 
+def json_entries(value: Column) -> Column:
+    """The members of a JSON object as map<string,string> of name to canonical JSON; empty for anything else."""
+    members = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
+    return F.coalesce(F.transform_values(members, lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))), F.create_map().cast("map<string,string>"))
+
+
+def canonical_value(value) -> str:
+    """A value as the JSON that :func:`json_entries` gives for it."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def canonical_json(value: str | None) -> str | None:
     """Sorted, compact JSON of a JSON text; null if it isn't well formed or has repeated names."""
 

@@ -6,20 +6,30 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import SQL_TOKENS, concept_keys
 from loomspan.operators import memory
-from loomspan.runtime import table
+from loomspan.runtime import stage, table
 
 AS_OF = "2026-01-01 00:00:00"
 HISTORY = ["la", "carte"]
+QUERY_TEXT = "Température du capteur rouge introuvable"
 QUERY = ["temperature", "du", "capteur", "rouge", "introuvable"]
 FORGOTTEN = "generated"
 
 
+CONTEXT = {"space": "cours", "lang": "fr"}
+
+
 def _log(spark, d):
     return memory.event_log(table(spark, d, "memory_events"))
 
 
+def _staged(spark, d):
+    """The log without redeliveries, tokenised once."""
+    return stage(_log(spark, d))
+
+
 def predict_next(spark, d):
-    return memory.predict(memory.evidence_spans(_log(spark, d)), HISTORY, 10, AS_OF)
+    history, context = memory.prepared_query({"history": HISTORY, "context": CONTEXT})
+    return memory.predict(memory.evidence_spans(_staged(spark, d), history[-1]), history, 10, AS_OF, context)
 
 
 def f1_event_tokens(spark, d):
@@ -34,7 +44,7 @@ def f2_document_concepts(spark, d):
 
 
 def a7_stats(spark, d):
-    return memory.stats(_log(spark, d))
+    return memory.stats(_staged(spark, d))
 
 
 def d2_key_conflicts(spark, d):
@@ -42,26 +52,26 @@ def d2_key_conflicts(spark, d):
 
 
 def w1_segments(spark, d):
-    log = memory.with_history(_log(spark, d))
+    log = memory.with_history(_staged(spark, d))
     return log.where("trusted").groupBy("episode").agg(F.count(F.lit(1)).alias("n_events"), F.sum((F.size("carry") == 0).cast("long")).alias("n_segments"))
 
 
 def w2_evidence_spans(spark, d):
-    spans = memory.evidence_spans(_log(spark, d))
+    spans = memory.evidence_spans(_staged(spark, d))
     return spans.groupBy("episode", "length").agg(F.count(F.lit(1)).alias("n_spans"), F.min("ingest_order").alias("first_order"), F.max("ingest_order").alias("last_order"))
 
 
 def a1_continuations(spark, d):
-    return memory.continuations(memory.evidence_spans(_log(spark, d))).drop("decayed_support")
+    return memory.continuations(memory.evidence_spans(_staged(spark, d))).drop("decayed_support")
 
 
 def a2_decayed_support(spark, d):
-    out = memory.decayed_support(memory.evidence_spans(_log(spark, d)), AS_OF, 30.0)
+    out = memory.decayed_support(memory.evidence_spans(_staged(spark, d)), AS_OF, 30.0)
     return out.withColumn("decayed_support", F.round("decayed_support", 4))
 
 
 def w5_lineage(spark, d):
-    spans = memory.evidence_spans(_log(spark, d))
+    spans = memory.evidence_spans(_staged(spark, d))
     return memory.lineage(spans, "la", "mesure").select("id", "episode", "ingest_order", "ordinal", "length", "created_at")
 
 
@@ -70,7 +80,8 @@ def w6_paths(spark, d):
 
 
 def recall_ranked(spark, d):
-    return memory.recall(_log(spark, d), QUERY, 10, AS_OF)
+    query, context = memory.prepared_query({"text": QUERY_TEXT, "context": CONTEXT})
+    return memory.recall(_staged(spark, d), query, 10, AS_OF, context).drop("text")
 
 
 def recall_newest(spark, d):
@@ -78,7 +89,7 @@ def recall_newest(spark, d):
 
 
 def u1_forget_continuations(spark, d):
-    log = _log(spark, d)
+    log = _staged(spark, d)
     kept = memory.forget(log, log.where(F.col("source_type") == FORGOTTEN))
     return kept.groupBy("episode").agg(F.count(F.lit(1)).alias("n_events"), F.min("ingest_order").alias("first_order"), F.sum(F.size("tokens")).alias("n_tokens"))
 
@@ -96,14 +107,14 @@ numbered_rows AS (
 ),
 tokenised AS (SELECT *, {_TOKENS} AS tokens FROM numbered_rows WHERE delivery = 1),
 ev AS (
-  SELECT ingest_order, id, coalesce(nullif(trim(episode_id), ''), id) AS episode, text, source_type,
+  SELECT ingest_order, id, coalesce(nullif(trim(episode_id), ''), id) AS episode, text, source_type, context_json,
     source_type IN ('observed', 'executed', 'user_confirmed') AS trusted, context_signature, created_at, tokens
   FROM tokenised WHERE len(tokens) > 0
 )"""
 GRAMS = f"""{EVENTS},
 segmented AS (SELECT *, sum(CASE WHEN trusted THEN 0 ELSE 1 END) OVER (PARTITION BY episode ORDER BY ingest_order) AS seg FROM ev),
 occ AS (
-  SELECT episode, seg, id, ingest_order, context_signature, created_at, unnest(tokens) AS token, unnest(range(len(tokens))) AS ordinal FROM segmented WHERE trusted
+  SELECT episode, seg, id, ingest_order, context_signature, context_json, created_at, unnest(tokens) AS token, unnest(range(len(tokens))) AS ordinal FROM segmented WHERE trusted
 ),
 lagged AS (
   SELECT *, lag(token, 1) OVER w AS t1, lag(token, 2) OVER w AS t2, lag(token, 3) OVER w AS t3
@@ -115,13 +126,17 @@ spans AS (
   UNION ALL SELECT 3, t3 || ' ' || t2 || ' ' || t1, token, * FROM lagged WHERE t3 IS NOT NULL
 )"""
 _RECENCY = "1.0 / (1.0 + greatest(epoch(TIMESTAMP '" + AS_OF + "') - epoch({0}), 0) / 86400.0 / 30.0)"
+#: Likeness of the JSON {0} to CONTEXT: shared members over members of either, a quarter for no members.
+_KEYS = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN len(json_keys({0})) ELSE 0 END"
+_SHARED = "(coalesce(json_extract({0}, '$.space')::varchar = '\"cours\"', false)::int + coalesce(json_extract({0}, '$.lang')::varchar = '\"fr\"', false)::int)"
+_LIKE = f"CASE WHEN NOT json_valid({{0}}) THEN 0.25 WHEN {_KEYS} = 0 THEN 0.25 ELSE {_SHARED} / ({_KEYS} + 2 - {_SHARED})::double END"
 _TERMS = "[" + ", ".join(f"'{t}'" for t in QUERY) + "]"
 
 ORACLES = {
     "predict_next": f"""WITH {GRAMS},
 hits AS (SELECT * FROM spans WHERE (length = 1 AND pattern = '{HISTORY[1]}') OR (length = 2 AND pattern = '{HISTORY[0]} {HISTORY[1]}')),
 merged AS (
-  SELECT length, next_token, count(*) AS support, count(DISTINCT episode) AS episodes, max(created_at) AS last_seen, 0.0 AS context_match,
+  SELECT length, next_token, count(*) AS support, count(DISTINCT episode) AS episodes, max(created_at) AS last_seen, max({_LIKE.format('context_json')}) AS context_match,
     count(DISTINCT context_signature) AS n_contexts FROM hits WHERE length = (SELECT max(length) FROM hits) GROUP BY length, next_token
 ),
 top AS (
@@ -171,14 +186,17 @@ picked AS (
     SELECT episode, ingest_order, 0 AS p FROM seeds UNION ALL SELECT episode, before, 1 FROM seeds UNION ALL SELECT episode, after, 1 FROM seeds
   ) WHERE ingest_order IS NOT NULL GROUP BY episode, ingest_order
 ),
+firsts AS (SELECT episode, arg_min(context_json, ingest_order) AS ctx FROM ev GROUP BY episode),
 capped AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY p, ingest_order DESC) AS rn FROM picked),
 chosen AS (SELECT h.* FROM hit h JOIN capped c USING (episode, ingest_order) WHERE c.rn <= 12),
 scored AS (
-  SELECT episode, count(*) AS n_events, sum(len(hits))::bigint AS n_occurrences, len(list_distinct(flatten(list(hits)))) AS matched FROM chosen GROUP BY episode
+  SELECT episode, count(*) AS n_events, sum(len(hits))::bigint AS n_occurrences, len(list_distinct(flatten(list(hits)))) AS matched,
+    array_to_string(flatten(list(tokens ORDER BY ingest_order))[1:100], ' ') AS path FROM chosen GROUP BY episode
 ),
 updated AS (SELECT episode, max(created_at) AS updated_at FROM ev GROUP BY episode)
-SELECT episode, matched, n_occurrences, n_events, round(2.0 * matched + 2.0 * matched / {len(QUERY)} + ln(1 + n_occurrences) + {_RECENCY.format('updated_at')}, 6) AS score
-FROM scored JOIN updated USING (episode) ORDER BY score DESC, least(n_occurrences, 25) DESC, episode DESC LIMIT 10""",
+SELECT episode, matched, n_occurrences, n_events, round({_LIKE.format('ctx')}, 6) AS context_match, path,
+  round(2.0 * matched + 2.0 * matched / {len(QUERY)} + ln(1 + n_occurrences) + {_LIKE.format('ctx')} + {_RECENCY.format('updated_at')}, 6) AS score
+FROM scored JOIN updated USING (episode) JOIN firsts USING (episode) ORDER BY score DESC, least(n_occurrences, 25) DESC, episode DESC LIMIT 10""",
     "recall_newest": f"""WITH {EVENTS}, updated AS (SELECT episode, max(created_at) AS updated_at FROM ev GROUP BY episode)
 SELECT episode, 0 AS matched, 0 AS n_occurrences, round({_RECENCY.format('updated_at')}, 6) AS score FROM updated ORDER BY updated_at DESC, episode LIMIT 10""",
     "u1_forget_continuations": f"""WITH {EVENTS},
