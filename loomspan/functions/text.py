@@ -8,6 +8,7 @@ import json
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,22 @@ def token_list(text: str) -> list[str]:
     return regex.findall(TOKEN, normalise_token_text(text))
 
 
+@F.arrow_udf(T.StringType())
+def _nfkc(batch: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in batch.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc_folded(batch: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in batch.to_pylist()], pa.string())
+
+
+def compatible(text: Column, fold: bool = False) -> Column:
+    """The NFKC form of a text, case-folded if asked for; ASCII texts stay on the JVM."""
+    ascii_only = text.rlike(r"\A\p{ASCII}*\z")
+    return F.when(ascii_only, F.lower(text) if fold else text).otherwise((_nfkc_folded if fold else _nfkc)(F.when(~ascii_only, text)))
+
+
 @F.udf(T.StringType(), useArrow=True)
 def normalise_token(value):
     """The exact token rule as a UDF, for text with ligatures."""

@@ -1,11 +1,14 @@
 """Rules that records must keep, as violations; and examples mined from facts."""
 
-from __future__ import annotations
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import hash_number, hashed_id
+from loomspan.runtime import stage
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -61,15 +64,54 @@ def lengths(rows: DataFrame, size: Column, by: str, limits: list[int]) -> DataFr
     return ranked.groupBy(by).agg(F.sum("c").alias("n_rows"), F.max("_n").alias("largest"), F.min(F.when(F.col("_u") > F.floor(0.95 * (F.col("_t") - 1)), F.col("_n"))).alias("p95"), *over)
 
 
-def leaks(corpus: DataFrame, text: str, tokens: DataFrame, least: int = 4) -> DataFrame:
-    """Forbidden tokens that are words of a text: token and number of texts.
+#: Characters of the tokens that one automaton holds; more tokens take more passes over the texts.
+AUTOMATON_CHARS = 16 << 20
 
-    An equi-join on distinct words, so neither side is broadcast and no pair is
-    tried in vain; tokens shorter than ``least`` are left out.
+
+def leaks(corpus: DataFrame, text: str, tokens: DataFrame, least: int = 4, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Forbidden tokens that a text contains anywhere, whatever their case: token and number of texts.
+
+    A multi-pattern automaton looks for all of them in one pass over whole
+    texts.  Tokens of less than ``least`` characters are left out.  What the
+    automaton holds is measured: tokens of more than ``most_chars`` characters
+    together are dealt into several automata, one pass each.
     """
-    wanted = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= least).distinct()
-    words = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n_texts")).join(wanted, "token", "left_semi")
+    wanted = stage(tokens.select(compatible_fold("token").alias("token")).where(F.length(F.trim("token")) >= least).distinct())
+    chars = wanted.agg(F.sum(F.length("token"))).first()[0] or 0
+    passes = -(-chars // most_chars)
+    out = corpus.sparkSession.createDataFrame([], "token string, n_texts long")
+    for i in range(passes):
+        part = [r[0] for r in wanted.where(F.pmod(F.xxhash64("token"), F.lit(passes)) == i).collect()]
+        out = out.unionByName(_contained(corpus.select(text), corpus.sparkSession.sparkContext.broadcast(part)))
+    return out
+
+
+def compatible_fold(column: str) -> Column:
+    """A token as the automaton compares it: case-folded."""
+    return _folded(F.col(column))
+
+
+@F.arrow_udf("string")
+def _folded(batch: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else t.casefold() for t in batch.to_pylist()], pa.string())
+
+
+def _contained(texts: DataFrame, tokens) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t in tokens.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text and tokens.value:
+                    found.update({t for _, t in automaton.iter(text.casefold())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n_texts"])
+
+    return texts.mapInArrow(run, "token string, n_texts long").groupBy("token").agg(F.sum("n_texts").alias("n_texts"))
 
 
 def capped(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:

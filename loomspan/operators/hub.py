@@ -8,7 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GENERATED = ("generated", "assistant", "model", "llm")
+from loomspan.functions.text import compatible
+from loomspan.operators import blocks
+
+# What a source says of itself when its text was generated, sources that may be written, names that the hub sets.
+GENERATED = ("generated", "model_generated", "assistant_generated", "llm_generated")
+WRITABLE = ("user_confirmed", "observed", "executed")
+RESERVED = ("memory_hub_agent", "memory_hub_space")
 
 
 def can_read(principal: Column) -> Column:
@@ -85,9 +91,8 @@ def within_budget(items: DataFrame, group: list[str], order: list, size: str, bu
 
 
 def until_budget(items: DataFrame, group: list[str], order: list, size: Column, budget: int) -> DataFrame:
-    """In order, the items before the first that exceeds the budget of its group."""
-    upto = F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("_upto", upto).where(F.col("_upto") <= budget).drop("_upto")
+    """In order, the items before the first that exceeds the budget of its group; null sizes count as 0."""
+    return blocks.running(items, group, order, {"_upto": size}).where(F.col("_upto") <= budget).drop("_upto")
 
 
 def namespaced_key(agent: Column, space: Column, key: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators import blocks
+
 TERMINAL = ("completed", "failed")
 
 
@@ -85,15 +87,17 @@ def latencies(jobs: DataFrame) -> DataFrame:
     """Seconds from claim to completion by four definitions of a percentile, for each state.
 
     linear interpolates, ceiling takes the value at ceil(p n), nearest at
-    round(p (n-1)) with halves to even, floor at floor(p (n-1)).
+    round(p (n-1)) with halves to even, floor at floor(p (n-1)).  All are read
+    off the running counts of distinct values, which are summed by blocks.
     """
     seconds = jobs.where("completed_at IS NOT NULL AND claimed_at IS NOT NULL").select("state", (F.col("completed_at") - F.col("claimed_at")).alias("s"))
-    # discrete percentiles are exact and computed from counts, not from a collected list
-    order = Window.partitionBy("state").orderBy("s")
-    ranked = seconds.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("state")))
-    pick = lambda place: F.max(F.when(F.col("rn") == place, F.col("s")))
-    p = F.lit(0.95)
-    return ranked.groupBy("state").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("s", 0.95).alias("linear"), pick(F.greatest(F.lit(1), F.ceil(p * F.col("n")))).alias("ceiling"),
-        pick(F.bround(p * (F.col("n") - 1)) + 1).alias("nearest"), pick(F.floor(p * (F.col("n") - 1)) + 1).alias("floor"),
+    counts = seconds.groupBy("state", "s").agg(F.count(F.lit(1)).alias("c"))
+    ranked = blocks.running(counts, ["state"], [F.col("s")], {"upto": F.col("c")}, {"upto": "n"})
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("s")))
+    p, last = F.lit(0.95), F.col("n") - 1
+    out = ranked.groupBy("state").agg(
+        F.max("n").alias("n"), at(F.floor(p * last) + 1).alias("floor"), at(F.least(F.col("n"), F.floor(p * last) + 2)).alias("above"),
+        at(F.greatest(F.lit(1), F.ceil(p * F.col("n")))).alias("ceiling"), at(F.bround(p * last) + 1).alias("nearest"),
     )
+    share = p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))
+    return out.select("state", "n", ((1 - share) * F.col("floor") + share * F.col("above")).alias("linear"), "ceiling", "nearest", "floor")

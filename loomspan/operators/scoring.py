@@ -1,11 +1,12 @@
 """Scores of answers and retrieval, and the coverage of evidence."""
 
-from __future__ import annotations
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import clean
+from loomspan.functions.text import clean, compatible
 
 # Words of an abstention, and the patterns of verifiable parts of an answer.
 ABSTENTION = ["je ne sais pas", "information insuffisante", "i don't know", "cannot determine", "je_ne_sais_pas"]
@@ -19,12 +20,13 @@ DECISION = r"(?i)^\s*(oui|non)(?=\s|[.!?:;,])"
 
 
 def exact_form(text: Column) -> Column:
-    """An answer in lower case with single blanks."""
-    return clean(F.lower(text))
+    """An answer in NFKC, case-folded, with single blanks."""
+    return clean(compatible(text, fold=True))
 
 
 def anchors(text: Column) -> Column:
-    """Distinct verifiable parts of an answer: ids, fictional values, dates, ages, the unknown marker, a leading yes or no."""
+    """Distinct verifiable parts of an answer in NFKC: ids, fictional values, dates, ages, the unknown marker, a leading yes or no."""
+    text = compatible(text)
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tag = lambda name, found: F.transform(found, lambda x: F.concat(F.lit(name + ":"), x))
     upper, lower = (lambda a: F.transform(a, F.upper)), (lambda a: F.transform(a, lambda x: clean(F.lower(x))))
@@ -37,15 +39,32 @@ def anchors(text: Column) -> Column:
     ))
 
 
+def _exact(text: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
+
+
+_FRAGMENT_SCORES = pa.struct([("correct", pa.bool_()), ("abstained", pa.bool_()), ("hallucinated", pa.bool_())])
+
+
+@F.arrow_udf("correct boolean, abstained boolean, hallucinated boolean")
+def _fragment_scores(answers: pa.Array, expected: pa.Array, forbidden: pa.Array, answerable: pa.Array) -> pa.Array:
+    marks, out = [_exact(x) for x in ABSTENTION], []
+    for answer, want, bar, can in zip(answers.to_pylist(), expected.to_pylist(), forbidden.to_pylist(), answerable.to_pylist()):
+        text = _exact(answer)
+        abstained, wrong = any(m in text for m in marks), any(_exact(x) in text for x in bar or () if x)
+        found = all(_exact(x) in text for x in want or () if x)
+        out.append({"correct": found and not wrong and not abstained if can else abstained and not wrong, "abstained": abstained, "hallucinated": wrong if can else not abstained or wrong})
+    return pa.array(out, _FRAGMENT_SCORES)
+
+
 def fragment_scores(answer: Column, expected: Column, forbidden: Column, answerable: Column) -> Column:
-    """struct(correct, abstained, hallucinated) of an answer by the fragments it holds."""
-    text = exact_form(answer)
-    holds = lambda x: F.contains(text, exact_form(x))
-    abstained = F.exists(F.array(*map(F.lit, ABSTENTION)), holds)
-    wrong = F.exists(forbidden, holds)
-    correct = F.when(answerable, F.forall(expected, holds) & ~wrong & ~abstained).otherwise(abstained & ~wrong)
-    hallucinated = F.when(answerable, wrong).otherwise(~abstained | wrong)
-    return F.struct(correct.alias("correct"), abstained.alias("abstained"), hallucinated.alias("hallucinated"))
+    """struct(correct, abstained, hallucinated) of an answer by the fragments it holds.
+
+    Answer and fragments are compared in NFKC, case-folded, with single blanks.
+    A null answer is an empty one, null fragments are none, a null answerable is
+    no.
+    """
+    return _fragment_scores(answer, expected, forbidden, answerable)
 
 
 def evidence_scores(predicted: Column, target: Column, permitted: Column) -> Column:

@@ -253,6 +253,16 @@ _POLICY_ROWS = ", ".join("('{}', '{}', {}, [{}]::varchar[], [{}]::varchar[])".fo
 _POLICIES = f"policies AS (SELECT * FROM (VALUES {_POLICY_ROWS}) AS t(space, kind, owner, readers, writers))"
 
 ORACLES = {
+    "a22_inversions": """WITH e AS (SELECT source_type, ingest_order AS o, created_at AS v FROM memory_events WHERE created_at IS NOT NULL)
+SELECT a.source_type, count(DISTINCT a.o) AS n_rows, count(b.v) AS n_inversions
+FROM e a LEFT JOIN e b ON b.source_type IS NOT DISTINCT FROM a.source_type AND b.o > a.o AND b.v < a.v GROUP BY a.source_type""",
+    "w9_budget": """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+fold AS (
+  SELECT source, doc_id, n_chars, rn, n_chars <= 20000 AS kept, CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END AS used FROM d WHERE rn = 1
+  UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.rn, f.used + d.n_chars <= 20000, f.used + CASE WHEN f.used + d.n_chars <= 20000 THEN d.n_chars ELSE 0 END
+  FROM fold f JOIN d ON d.source = f.source AND d.rn = f.rn + 1
+)
+SELECT source, doc_id, n_chars FROM fold WHERE kept""",
     "a24_contradictions": f"WITH {FACTS} SELECT entity, predicate, precision, (position - DATE '0001-01-01')::bigint AS position, count(DISTINCT object) + max(CASE WHEN object IS NULL THEN 1 ELSE 0 END) AS n_objects, count(*) AS n_facts FROM dated GROUP BY ALL HAVING n_objects > 1",
     "w3_previous_fact": f"""WITH {FACTS}, chained AS (SELECT *, lag(n) OVER w AS pn, lag(one) OVER w AS po FROM instants WINDOW w AS (PARTITION BY entity, predicate ORDER BY position, precision))
 SELECT one[1] AS fact_id, CASE WHEN pn = 1 THEN po[1] END AS previous_id FROM chained WHERE n = 1""",

@@ -165,6 +165,10 @@ def s4_json_facts(spark, d):
     return jsonio.json_facts(table(spark, d, "injection_jobs").select(F.col("sequence").alias("key"), F.col("context_json").alias("doc")))
 
 
+def s4_json_problems(spark, d):
+    return jsonio.json_problems(table(spark, d, "injection_jobs").select(F.col("sequence").alias("key"), F.col("context_json").alias("doc")))
+
+
 def s5_categories(spark, d):
     return jsonio.category_summary(s4_json_facts(spark, d))
 
@@ -263,7 +267,7 @@ def a2_sessions(spark, d):
     return table(spark, d, "events").groupBy(s.alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (a10_variants, a29_totals, w17_preferred_labels, s12_components, p3_provenance_prefix, p4_confidence, p5_first_writer, j10_claim_sources, f31_claim_text, j11_missing_evidence, p8_training_violations, s16_duplicate_examples, s17_lengths, a23_task_counts, a25_split_inventory, j19_shared_keys, p0_summary_gaps, a16_coverage, a18_rates, a19_evidence_scores, a20_arms, f27_anchors, f28_fragments, j18_leaks, g6_capped_tasks, g4_synthetic_worlds, s3_event_props, s4_json_facts, s5_categories, s7_filenames, f4_slugs, f5_clean_titles, f6_signatures, f9_recency, f12_context_match, f22_ids, f24_overlap, f34_intents, p21_hub_keys, p7_previews, k2_upsert_ignore, k3_upsert_update, k6_json_lines, k5_page, t12_windows, a2_sessions)}
+QUERIES = {f.__name__: f for f in (a10_variants, a29_totals, w17_preferred_labels, s12_components, p3_provenance_prefix, p4_confidence, p5_first_writer, j10_claim_sources, f31_claim_text, j11_missing_evidence, p8_training_violations, s16_duplicate_examples, s17_lengths, a23_task_counts, a25_split_inventory, j19_shared_keys, p0_summary_gaps, a16_coverage, a18_rates, a19_evidence_scores, a20_arms, f27_anchors, f28_fragments, j18_leaks, g6_capped_tasks, g4_synthetic_worlds, s3_event_props, s4_json_facts, s4_json_problems, s5_categories, s7_filenames, f4_slugs, f5_clean_titles, f6_signatures, f9_recency, f12_context_match, f22_ids, f24_overlap, f34_intents, p21_hub_keys, p7_previews, k2_upsert_ignore, k3_upsert_update, k6_json_lines, k5_page, t12_windows, a2_sessions)}
 # pN_ names belong to the problems of TESTDATA.md; predicates and projections of the inventory are registered as projN_
 QUERIES = {f"proj{name[1:]}" if name.startswith("p") else name: f for name, f in QUERIES.items()}
 
@@ -318,8 +322,8 @@ SELECT round(avg(ok) FILTER (WHERE NOT m), 6) AS baseline, round(avg(ok) FILTER
 f AS (SELECT row_id, answerable, contains(t, 'le') AND contains(t, 'la') AS all_found, contains(t, 'rouge') AS wrong,
   contains(t, 'je ne sais pas') OR contains(t, 'information insuffisante') OR contains(t, 'i don''t know') OR contains(t, 'cannot determine') OR contains(t, 'je_ne_sais_pas') AS abstained FROM a)
 SELECT row_id, CASE WHEN answerable THEN all_found AND NOT wrong AND NOT abstained ELSE abstained AND NOT wrong END AS correct, abstained, CASE WHEN answerable THEN wrong ELSE NOT abstained OR wrong END AS hallucinated FROM f""",
-    "j18_leaks": f"""WITH w AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS token FROM documents), t AS (SELECT DISTINCT lower(unnest(string_split(label, ' '))) AS token FROM concepts)
-SELECT token, count(*) AS n_texts FROM w WHERE token IN (SELECT token FROM t WHERE length(token) >= 4) GROUP BY token""",
+    "j18_leaks": """WITH t AS (SELECT DISTINCT lower(unnest(string_split(label, ' '))) AS token FROM concepts), d AS (SELECT lower(text) AS text FROM documents)
+SELECT token, count(*) AS n_texts FROM t JOIN d ON contains(d.text, t.token) WHERE length(trim(token)) >= 4 GROUP BY token""",
     "g6_capped_tasks": "SELECT task, row_id FROM training_examples QUALIFY row_number() OVER (PARTITION BY task ORDER BY row_id) <= 25",
     "g4_synthetic_worlds": """WITH w AS (SELECT i, 'world:7:' || i AS world FROM range(2000) t(i))
 SELECT 'ex-' || sha256(world)[1:20] AS example_id, ['direct_recall', 'multi_hop', 'temporal_age', 'role', 'causal', 'abstention', 'contradiction', 'correction', 'calculation'][i % 9 + 1] AS task, 'SYN-' || upper(sha256(world || ':name')[1:8]) AS entity,

@@ -19,14 +19,14 @@ from loomspan.operators.nested import Members, Number, Parser, _step
 # Limits of a document, and the keywords of each category in order of precedence.
 MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_FACTS, MAX_TOKENS, MAX_TEXT, PREVIEW = 1 << 20, 32, 10_000, 200, 10_000, 4_000, 240
 CATEGORIES = {
-    "identite": "nom name prenom firstname lastname fullname username utilisateur email courriel telephone phone mobile anniversaire birthday naissance birth",
-    "temps": "date time heure timestamp created createdat updated updatedat year annee month mois day jour deadline echeance duration duree",
-    "localisation": "adresse address ville city pays country province state postal zipcode zip latitude longitude lat lon lng location lieu",
-    "preference": "preference preferences favorite favourite favori aime likes like dislike souhait wish choix",
-    "relation": "relation relations parent parents enfant children conjoint spouse ami amis friend friends famille family contact contacts",
-    "finance": "prix price cout cost montant amount total salaire salary revenu income devise currency budget balance solde",
-    "activite": "activite activity action event evenement task tache projet project status statut objectif goal message note description",
-}
+    "identite": frozenset({"nom", "name", "prenom", "firstname", "lastname", "fullname", "username", "utilisateur", "email", "courriel", "telephone", "phone", "mobile", "anniversaire", "birthday", "naissance", "birth"}),
+    "temps": frozenset({"date", "time", "heure", "timestamp", "created", "createdat", "updated", "updatedat", "year", "annee", "month", "mois", "day", "jour", "deadline", "echeance", "duration", "duree"}),
+    "localisation": frozenset({"adresse", "address", "ville", "city", "pays", "country", "province", "state", "postal", "zipcode", "zip", "latitude", "longitude", "lat", "lon", "lng", "location", "lieu"}),
+    "preference": frozenset({"preference", "preferences", "favorite", "favourite", "favori", "aime", "likes", "like", "dislike", "souhait", "wish", "choix"}),
+    "relation": frozenset({"relation", "relations", "parent", "parents", "enfant", "children", "conjoint", "spouse", "ami", "amis", "friend", "friends", "famille", "family", "contact", "contacts"}),
+    "finance": frozenset({"prix", "price", "cout", "cost", "montant", "amount", "total", "salaire", "salary", "revenu", "income", "devise", "currency", "budget", "balance", "solde"}),
+    "activite": frozenset({"activite", "activity", "action", "event", "evenement", "task", "tache", "projet", "project", "status", "statut", "objectif", "goal", "message", "note", "description"}),
+}
 GENERIC_SECTIONS = {"data", "items", "records", "results", "rows", "values"}
 
 
@@ -47,7 +47,7 @@ def category_of(section: str | None, names: list[str], numeric: bool) -> str:
         parts = [p for p in re.split(r"[^a-z0-9]+", _fold(name)) if p]
         words.update(parts, ["".join(parts)])
     for category, keywords in CATEGORIES.items():
-        if words & set(keywords.split()):
+        if words & keywords:
             return category
     return "mesure" if numeric else "general"
 
@@ -86,11 +86,30 @@ def leaves(document) -> Iterator[tuple]:
 _LEAVES = "key long, path string, friendly_path string, value_type string, value_preview string, text string, category string"
 
 
+def _imported(doc: str | None, parse: Parser) -> tuple[list[tuple], str | None]:
+    """The facts of a document, or why it isn't imported."""
+    if doc is None or not doc.strip():
+        return [], "empty"
+    if len(doc.encode("utf-8", "surrogatepass")) > MAX_BYTES:
+        return [], "more than 1 MiB"
+    try:
+        value = parse(doc.removeprefix("\ufeff"))
+    except ValueError:
+        return [], "no JSON"
+    if not isinstance(value, list):
+        return [], "no object or array"
+    try:
+        return list(leaves(value)), None
+    except ValueError as e:
+        return [], str(e)
+
+
 def json_facts(docs: DataFrame) -> DataFrame:
     """One row for each fact of each document (key, doc).
 
     A document that isn't a well-formed object or array, repeats a name or
-    exceeds a limit gives no rows: a document is imported whole or not at all.
+    exceeds a limit gives no rows here but one in :func:`json_problems`: a
+    document is imported whole or not at all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +117,7 @@ def json_facts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for key, doc in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist()):
-                try:
-                    if doc is None or len(doc.encode("utf-8", "surrogatepass")) > MAX_BYTES:
-                        continue
-                    value = parse(doc.removeprefix("\ufeff"))
-                    found = list(leaves(value)) if isinstance(value, list) else []
-                except ValueError:
-                    continue
+                found, _ = _imported(doc, parse)
                 out.extend((key, path, friendly, kind, shown if len(shown) <= PREVIEW else shown[: PREVIEW - 1] + "…", f"{friendly} : {shown}", category) for path, friendly, kind, shown, category in found)
             names = [f.split()[0] for f in _LEAVES.split(", ")]
             kinds = [pa.int64()] + [pa.string()] * 6
@@ -114,6 +127,18 @@ def json_facts(docs: DataFrame) -> DataFrame:
     return docs.select("key", "doc").mapInArrow(run, _LEAVES)
 
 
+def json_problems(docs: DataFrame) -> DataFrame:
+    """key, problem of each document that :func:`json_facts` doesn't import."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = Parser()
+        for batch in batches:
+            told = [(key, why) for key, doc in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist()) if (why := _imported(doc, parse)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in told], pa.int64()), pa.array([w for _, w in told], pa.string())], names=["key", "problem"])
+
+    return docs.select("key", "doc").mapInArrow(run, "key long, problem string")
+
+
 def category_summary(facts: DataFrame, most: int = 3) -> DataFrame:
     """Facts of each category and the first paths as examples, most frequent first."""
     first = F.slice(F.array_sort(F.collect_set("path")), 1, most)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,10 @@ from pyspark.sql.window import Window
 
 from loomspan.functions.text import concept_keys
 from loomspan.operators.memory import MAX_ORDER, TRUSTED
+from loomspan.runtime import path_exists, replace_text
 
+#: Folders of stored keys by hash.
+BUCKETS = 64
 EVENT = "idempotency_key string, episode_id string, text string, source_type string, created_at timestamp"
 
 
@@ -35,19 +37,23 @@ def start_ingestion(spark: SparkSession, incoming: str, store: str, checkpoint:
     """Files of events below ``incoming`` into parquet tables ``store``/events and ``store``/conflicts.
 
     Every batch writes a folder of its own number and replaces it when it is
-    retried, so a batch that is run again after a crash changes nothing.
+    retried, so a batch that is run again after a crash changes nothing.  Stored
+    keys lie in BUCKETS folders by hash; a batch reads those of its own keys.
     """
 
+    path = f"{store}/events"
+
     def append(batch: DataFrame, number: int) -> None:
         own = f"batch={number}"
-        path = f"{store}/events"
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch") != number)
-        except Exception:  # noqa: BLE001  no batch is stored yet
-            stored = spark.createDataFrame([], "idempotency_key string, content string")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(BUCKETS)).cast("int"))
+        stored = spark.createDataFrame([], "idempotency_key string, content string")
+        # the first batch finds no folder; any other failure to read is one
+        if path_exists(spark, path):
+            met = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            stored = spark.read.parquet(path).where((F.col("batch") != number) & F.col("bucket").isin(met))
         new, conflicts = fresh_events(batch, stored)
-        new.write.mode("overwrite").parquet(f"{path}/{own}")
-        conflicts.write.mode("overwrite").parquet(f"{store}/conflicts/{own}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{own}")
+        conflicts.drop("bucket").write.mode("overwrite").parquet(f"{store}/conflicts/{own}")
 
     source = spark.readStream.schema(EVENT).json(incoming)
     return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -102,11 +108,11 @@ def incremental_spans(events: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Write a version beside the others and point ``CURRENT`` to it; readers keep the version they opened."""
-    path = os.path.join(root, f"version={version}")
+    """Write a version beside the others and point ``CURRENT`` to it; readers keep the version they opened.
+
+    The pointer is replaced in one step of the file system that ``root`` lies in.
+    """
+    path = f"{root.rstrip('/')}/version={version}"
     df.write.mode("error").parquet(path)
-    pointer = os.path.join(root, "CURRENT")
-    with open(f"{pointer}.new", "w") as f:
-        f.write(version)
-    os.replace(f"{pointer}.new", pointer)
+    replace_text(df.sparkSession, f"{root.rstrip('/')}/CURRENT", version)
     return path
