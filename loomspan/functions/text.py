@@ -159,6 +159,13 @@ def canonical_json(value: str | None) -> str | None:
         return None
 
 
+@F.udf(T.StringType(), useArrow=True)
+def context_json(value):
+    """:func:`canonical_json` of a JSON object; null for anything else."""
+    shape = canonical_json(value)
+    return shape if shape is not None and shape.startswith("{") else None
+
+
 @F.udf(T.StringType(), useArrow=True)
 def context_signature(value):
     """SHA-256 of the canonical JSON of a context; ``global`` for an empty object, null for no JSON."""

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import civil, mathx
-from loomspan.functions.text import normalise_token
+from loomspan.functions.text import hash_number, normalise_token
+from loomspan.operators import contracts
 from loomspan.operators.nested import Members, Parser
 
 
@@ -125,3 +126,55 @@ def register_functions(spark: SparkSession) -> None:
     """SQL functions: evaluate_expression(text), normalise_token(text)."""
     spark.udf.register("evaluate_expression", mathx.evaluate)
     spark.udf.register("normalise_token", normalise_token)
+
+
+def disturbed(facts: DataFrame, seed: int) -> DataFrame:
+    """Facts with contradictions and duplicates in an order of arrival that has nothing to do with time.
+
+    ``facts`` has fact_id and object.  Hashes of seed and id choose: every
+    twelfth fact gets a contradicting one with another value, every fortieth
+    arrives twice.  arrival sorts the rows.
+    """
+    hashed = facts.withColumn("_x", hash_number(F.concat(F.lit(f"{seed}:"), "fact_id"), 120))
+    other = hashed.where("_x % 12 = 0").withColumns({"fact_id": F.concat("fact_id", F.lit(":contradiction")), "object": F.col("object") + 1, "kind": F.lit("contradiction")})
+    twice = hashed.where("_x % 40 = 1").withColumn("kind", F.lit("duplicate"))
+    rows = hashed.withColumn("kind", F.lit("base")).unionByName(other).unionByName(twice).drop("_x")
+    return rows.withColumn("arrival", F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "kind", "fact_id"), 256), 1, 16))
+
+
+def workload_queries(facts: DataFrame, each: int) -> DataFrame:
+    """kind, fact_id, query: up to ``each`` retrieval queries of six kinds over dated facts, chosen by hash.
+
+    direct names entity, predicate and date; partial leaves the predicate out;
+    temporal the entity and date; entity the entity alone; predicate the
+    predicate alone; unknown asks for an entity that isn't there and has no
+    expected fact.
+    """
+    parts = {
+        "direct": F.concat_ws(" ", "entity", "predicate", "date"), "partial": F.concat_ws(" ", "entity", "date"), "temporal": F.concat_ws(" ", F.lit("when"), "entity", "date"),
+        "entity": F.col("entity"), "predicate": F.col("predicate"), "unknown": F.concat(F.lit("missing-"), F.substring(F.sha2("fact_id", 256), 1, 12)),
+    }
+    asked = facts.withColumn("q", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("query")) for k, v in parts.items()))))
+    first = F.row_number().over(Window.partitionBy("q.kind").orderBy(F.sha2("fact_id", 256)))
+    return asked.withColumn("_rn", first).where(F.col("_rn") <= each).select("q.kind", F.when(F.col("q.kind") != "unknown", F.col("fact_id")).alias("fact_id"), "q.query")
+
+
+def model_kind(name: Column) -> Column:
+    """The kind of a model by its name."""
+    return F.when(name.rlike("(?i)embed"), "embedding").when(name.rlike("(?i)local|base"), "base").otherwise("other")
+
+
+def filtered_models(models: DataFrame, kinds: list[str], names: list[str], most: int) -> DataFrame:
+    """Models of the kinds and, if given, the names; first by name, ``most`` of them."""
+    rows = models.withColumn("kind", model_kind(F.col("base_model"))).where(F.col("kind").isin(kinds))
+    return (rows.where(F.col("base_model").isin(names)) if names else rows).orderBy(F.lower("base_model"), "config_id").limit(most)
+
+
+def question_problems(rows: DataFrame) -> DataFrame:
+    """Rules that questions (row_id, example_id, question, status, n_fragments) break: key, rule."""
+    times = rows.groupBy("example_id").agg(F.count(F.lit(1)).alias("_times"))
+    met = rows.join(times, rows["example_id"].eqNullSafe(times["example_id"])).drop(times["example_id"])
+    return contracts.violations(met, "row_id", {
+        "id_given": F.length(F.trim("example_id")) > 0, "id_unique": F.col("_times") == 1, "question_given": F.length(F.trim("question")) > 0,
+        "answerable_has_fragments": (F.col("status") == "unanswerable") | (F.col("n_fragments") > 0),
+    })

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import compatible
+from loomspan.functions.text import canonical_json
 from loomspan.operators import blocks
 
 # What a source says of itself when its text was generated, sources that may be written, names that the hub sets.
@@ -105,3 +106,54 @@ def lexical_overlap(question: Column, text: Column, stopwords: list[str]) -> Col
     stop = F.array(*map(F.lit, stopwords)) if stopwords else F.array().cast("array<string>")
     terms = lambda a: F.filter(F.array_except(F.array_distinct(a), stop), lambda t: F.length(t) > 1)
     return F.size(F.array_intersect(terms(question), terms(text)))
+
+
+def generated_guard(rows: DataFrame, source_json: str) -> DataFrame:
+    """Adds ``accepted``: whether a source may be written to a space, and ``refused`` why not.
+
+    A source is ``generated`` if it says so, or if its type, origin or kind is of
+    GENERATED; ``not_writable`` if its type isn't of WRITABLE; ``no_source`` if
+    it is no JSON object.
+    """
+    well = F.when(F.try_parse_json(source_json).isNotNull(), F.col(source_json))
+    field = lambda name: F.lower(F.trim(F.coalesce(F.get_json_object(well, f"$.{name}"), F.lit(""))))
+    said = field("type").isin(*GENERATED) | field("origin").isin(*GENERATED) | field("kind").isin(*GENERATED) | (F.get_json_object(well, "$.generated") == "true")
+    is_object = F.coalesce(F.trim(well).startswith("{"), F.lit(False))
+    refused = F.when(~is_object, "no_source").when(F.coalesce(said, F.lit(False)), "generated").when(~field("type").isin(*WRITABLE), "not_writable")
+    return rows.withColumn("refused", refused).withColumn("accepted", F.col("refused").isNull())
+
+
+@F.udf("string", useArrow=True)
+def semantic_context(context):
+    """Canonical JSON of a context without the names that the hub sets, at any depth; null for no JSON object."""
+
+    def bare(value):
+        return {k: bare(v) for k, v in value.items() if k not in RESERVED} if isinstance(value, dict) else value
+
+    shape = canonical_json(context)
+    value = None if shape is None else json.loads(shape)
+    return json.dumps(bare(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")) if isinstance(value, dict) else None
+
+
+@F.udf("string", useArrow=True)
+def stamped_context(context, agent, space):
+    """Canonical JSON of a context with the writing agent and space; what a caller set there is overwritten."""
+    shape = canonical_json(context or "{}")
+    value = None if shape is None else json.loads(shape)
+    return json.dumps({**value, RESERVED[0]: agent, RESERVED[1]: space}, ensure_ascii=False, sort_keys=True, separators=(",", ":")) if isinstance(value, dict) else None
+
+
+def ranked_items(items: DataFrame, limit: int) -> DataFrame:
+    """The best items of a merged recall: score, then fingerprint; null scores are 0."""
+    return items.orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "fingerprint").limit(limit)
+
+
+def ranked_evidence(items: DataFrame, question: list[str], limit: int) -> DataFrame:
+    """Evidence for a question: item of origin, most shared terms, position, id; ``limit`` is 1 to 64.
+
+    ``items`` has evidence_id, position (item * 1000 + part) and tokens.
+    """
+    if not 1 <= limit <= 64:
+        raise ValueError("limit must be 1 to 64")
+    overlap = F.size(F.array_intersect(F.array_distinct("tokens"), F.array(*map(F.lit, question)) if question else F.array().cast("array<string>")))
+    return items.withColumn("overlap", overlap).orderBy(F.floor(F.col("position") / 1000), F.desc("overlap"), "position", "evidence_id").limit(limit)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import units
 from loomspan.functions.units import haversine_km
 from loomspan.runtime import stage
 
@@ -52,21 +53,73 @@ def latest_state(facts: DataFrame) -> DataFrame:
 def changes(facts: DataFrame) -> DataFrame:
     """Derived measures between a numeric fact and its previous one of the same precision.
 
-    kind is interval_from_previous, absolute_change, percent_change (none from
-    0) or annual_rate (none within no time); one row each.
+    kind is interval_from_previous (in the unit of the precision's axis),
+    absolute_change, percent_change (of the previous value; none from 0) or
+    annual_rate (only between years, none within no time); one row each.
     """
     rows = with_previous(facts).where("previous IS NOT NULL AND previous.precision = precision")
     new, old = F.col("object").cast("double"), F.col("previous.object").cast("double")
-    days = (F.col("position") - F.col("previous.position")).cast("double")
-    kind = lambda name, value, exact: F.struct(F.lit(name).alias("kind"), value.alias("value"), F.lit(exact).alias("exact"))
+    elapsed = (F.col("position") - F.col("previous.position")).cast("double")
+    kind = lambda name, value, exact: F.struct(F.lit(name).alias("kind"), value.alias("value"), exact.alias("exact"))
     derived = F.array(
-        kind("interval_from_previous", days, True), kind("absolute_change", new - old, True), kind("percent_change", F.when(old != 0, (new - old) / F.abs(old) * 100), False),
-        kind("annual_rate", F.when(days > 0, (new - old) / (days / 365.2425)), False),
+        kind("interval_from_previous", elapsed, F.col("precision") == 11), kind("absolute_change", new - old, F.lit(True)), kind("percent_change", F.when(old != 0, (new - old) / old * 100), F.lit(False)),
+        kind("annual_rate", F.when((F.col("precision") == 9) & (elapsed != 0), (new - old) / F.when(elapsed != 0, elapsed)), F.lit(False)),
     )
     out = rows.select(*INSTANT, "fact_id", F.col("previous.fact_id").alias("previous_id"), F.explode(derived).alias("d"))
     return out.select(*INSTANT, "fact_id", "previous_id", "d.kind", "d.value", "d.exact").where("value IS NOT NULL")
 
 
+#: The formula of each derived measure.
+FORMULAS = {
+    "duration_years": "civil_year_ordinal(valid_to) - civil_year_ordinal(valid_from)", "duration_months": "civil_month_ordinal(valid_to) - civil_month_ordinal(valid_from)", "duration_days": "civil_day_ordinal(valid_to) - civil_day_ordinal(valid_from)",
+    "temporal_midpoint": "(valid_from + valid_to) / 2", "age_at_start": "civil_ordinal(valid_from) - civil_ordinal(birth_year)", "normalized_measurement": "convert_to_canonical_unit(value, unit)",
+    "interval_from_previous": "valid_from - previous.valid_from", "absolute_change": "current_canonical_value - previous_canonical_value", "percent_change": "(current - previous) / previous * 100",
+    "annual_rate": "(current - previous) / elapsed_years", "distance_from_previous": "haversine(previous.coordinates, coordinates, earth_radius_km)",
+}
+
+
+def derived(facts: DataFrame) -> DataFrame:
+    """All measures that can be worked out of dated facts: event_id, id, kind, value, unit, formula, dependencies, exact.
+
+    ``facts`` has entity, predicate, precision (9, 10, 11), position (on the
+    axis of the precision), year (ordinal), end_precision, end_position,
+    birth_ordinal, value, unit, latitude, longitude and fact_id; what is null
+    gives no measure.  Values are compared in canonical units; an instant of
+    several facts has no successor.  A measure's id names its fact and kind.
+    """
+    unit_of = F.when(F.col("precision") == 9, "year").when(F.col("precision") == 10, "month").otherwise("day")
+    measure = units.canonical(F.col("value"), F.col("unit"))
+    rows = facts.withColumns({"_unit": unit_of, "_m": measure})
+    state = F.struct("fact_id", "precision", "position", "_m", "latitude", "longitude")
+    per = rows.groupBy(*INSTANT).agg(F.count(F.lit(1)).alias("_n"), F.min(state).alias("_s"))
+    before = per.withColumn("_p", F.lag(F.when(F.col("_n") == 1, F.col("_s"))).over(Window.partitionBy(*KEY).orderBy("position", "precision"))).where("_n = 1").select("_p", F.col("_s.fact_id").alias("fact_id"))
+    met = rows.join(before, "fact_id", "left")
+    p, value, old = F.col("_p"), F.col("_m.value"), F.col("_p._m.value")
+    same_axis, like = p["precision"] == F.col("precision"), (p["_m"]["dimension"] == F.col("_m.dimension")) & (p["_m"]["unit"] == F.col("_m.unit"))
+    elapsed, length = (F.col("position") - p["position"]).cast("double"), (F.col("end_position") - F.col("position")).cast("double")
+    ended, day, exact = F.col("end_precision") == F.col("precision"), F.col("precision") == 11, F.coalesce(F.col("_m.exact"), F.lit(False))
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & p["latitude"].isNotNull() & p["longitude"].isNotNull()
+    age = F.col("year") - F.col("birth_ordinal")
+
+    def one(kind, when, worth, unit, sure, both=False):
+        found = F.when(when, worth.cast("double"))
+        deps = F.array_compact(F.array(p["fact_id"], F.col("fact_id"))) if both else F.array("fact_id")
+        return F.struct(F.lit(kind).alias("kind"), found.alias("value"), unit.alias("unit"), F.lit(FORMULAS[kind]).alias("formula"), deps.alias("dependencies"), sure.alias("exact"))
+
+    unit, no, yes = F.col("_m.unit"), F.lit(False), F.lit(True)
+    kinds = [one(f"duration_{u}s", ended & (F.col("_unit") == u), length, F.lit(u), day) for u in ("year", "month", "day")]
+    kinds += [
+        one("temporal_midpoint", ended, (F.col("position") + F.col("end_position")) / 2, F.concat(F.lit("civil_"), "_unit", F.lit("_ordinal")), day),
+        one("age_at_start", age >= 0, age, F.lit("year"), no), one("normalized_measurement", F.col("_m").isNotNull(), value, unit, exact),
+        one("interval_from_previous", same_axis, elapsed, F.col("_unit"), day, True), one("absolute_change", like, value - old, unit, exact & F.coalesce(p["_m"]["exact"], no), True),
+        one("percent_change", like & (old != 0), (value - old) / F.when(old != 0, old) * 100, F.lit("%"), no, True),
+        one("annual_rate", like & same_axis & (F.col("precision") == 9) & (elapsed != 0), (value - old) / F.when(elapsed != 0, elapsed), F.concat(unit, F.lit("/year")), no, True),
+        one("distance_from_previous", known, haversine_km(p["latitude"], p["longitude"], F.col("latitude"), F.col("longitude")), F.lit("km"), no, True),
+    ]
+    out = met.select("fact_id", F.explode(F.array(*kinds)).alias("d")).where("d.value IS NOT NULL")
+    return out.select(F.col("fact_id").alias("event_id"), F.concat(F.lit("calc:"), "fact_id", F.lit(":"), "d.kind").alias("id"), "d.*")
+
+
 def distances(facts: DataFrame) -> DataFrame:
     """distance_from_previous: kilometres between a fact and its previous one, of any precision.
 

@@ -271,8 +271,7 @@ SELECT entity, predicate, one[1] AS fact_id, one[2] AS object FROM last WHERE n
     "f17_changes": f"""WITH {_MEASURES}
 SELECT entity, predicate, fact_id, previous_id, 'interval_from_previous' AS kind, round(days, 6) AS value FROM pairs
 UNION ALL SELECT entity, predicate, fact_id, previous_id, 'absolute_change', round(object - po, 6) FROM pairs WHERE object - po IS NOT NULL
-UNION ALL SELECT entity, predicate, fact_id, previous_id, 'percent_change', round((object - po) / abs(po) * 100, 6) FROM pairs WHERE po <> 0 AND object IS NOT NULL
-UNION ALL SELECT entity, predicate, fact_id, previous_id, 'annual_rate', round((object - po) / (days / 365.2425), 6) FROM pairs WHERE days > 0 AND object - po IS NOT NULL""",
+UNION ALL SELECT entity, predicate, fact_id, previous_id, 'percent_change', round((object - po) / po * 100, 6) FROM pairs WHERE po <> 0 AND object IS NOT NULL""",
     "f17_durations": r"""WITH raw AS (SELECT DISTINCT statement_id, trim(temporal_start) AS s, trim(temporal_end) AS e FROM claims),
 bounds AS (
   SELECT statement_id, side, v, try_cast(substr(v, 1, 4) || '-' || CASE WHEN length(v) > 4 THEN substr(v, 6, 2) ELSE '01' END || '-' || CASE WHEN length(v) > 7 THEN substr(v, 9, 2) ELSE '01' END AS date) AS day, s, e

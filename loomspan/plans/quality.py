@@ -83,7 +83,31 @@ marked AS (
 
 _BOUND = """regexp_extract(trim({0}), '^(\\d{{4}})(-(\\d{{2}})(-(\\d{{2}})([Zz]|T.*)?)?)?$', ['y', 'm0', 'm', 'd0', 'd', 'z'])"""
 
+#: Well-formed JSON: DuckDB also takes commas before a closing bracket and NaN, which RFC 8259 doesn't.
+WELL_FORMED = r"""(json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '"([^"\\]|\\.)*"', '""', 'g'), ',\s*[}}\]]|NaN|nan|[Ii]nf'))"""
+
+
+def _opened(x: str) -> str:
+    held = f"json_extract_string({x}, '$')"
+    return rf"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({held}, '^[ \t\n\r]*[{{\[]') THEN CASE WHEN {WELL_FORMED.format(held)} THEN {held}::json ELSE {x} END ELSE {x} END"
+
+
 ORACLES = {
+    "p1_found": rf"""WITH RECURSIVE docs AS (
+  SELECT 'memory_events' AS src_table, 'context_json' AS src_field, ingest_order AS src_key, context_json AS doc FROM memory_events
+  UNION ALL SELECT 'memory_events', 'source_json', ingest_order, source_json FROM memory_events
+  UNION ALL SELECT 'injection_jobs', 'context_json', sequence, context_json FROM injection_jobs
+),
+well AS (SELECT src_table, src_field, src_key, doc::json AS v FROM docs WHERE {WELL_FORMED.format('doc')}),
+node AS (
+  SELECT src_table, src_field, src_key, '$' AS path, '$' AS around, false AS element, {_opened('v')} AS v FROM well
+  UNION ALL
+  SELECT n.src_table, n.src_field, n.src_key,
+    n.path || CASE WHEN json_type(n.v) = 'ARRAY' THEN '[' || e.key || ']' WHEN regexp_matches(e.key, '^[A-Za-z_][A-Za-z0-9_]*$') THEN '.' || e.key ELSE '[' || to_json(e.key) || ']' END,
+    CASE WHEN n.element THEN n.path ELSE n.around END, json_type(n.v) = 'ARRAY' AND json_type({_opened('e.value')}) = 'OBJECT', {_opened('e.value')}
+  FROM node n, json_each(n.v) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+)
+SELECT src_table, src_field, src_key, path AS node_path, around AS parent_path FROM node WHERE element""",
     "p3_found": f"""
 WITH raw AS (
   SELECT subject_value, predicate_iri, {_BOUND.format('temporal_start')} AS s, {_BOUND.format('temporal_end')} AS e,
