@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.operators import blocks
 
@@ -132,7 +133,7 @@ def corrected_answer(answer: str | None, results: list[str]) -> str | None:
     return STATED_AGE.sub(lambda m: m[1] + (lambda r: f"entre {r.replace('..', ' et ')}" if ".." in r else r)(next(left)) + m[3], answer)
 
 
-@F.arrow_udf("results array<string>, answer string, calculation_ids array<string>")
+@F.arrow_udf(T.StructType([T.StructField("results", T.ArrayType(T.StringType())), T.StructField("answer", T.StringType()), T.StructField("calculation_ids", T.ArrayType(T.StringType()))]))
 def recalculated(request: pa.Array, answers: pa.Array, expressions: pa.Array) -> pa.Array:
     """struct(results, answer, calculation_ids) of an answer's calculations; a calculation outside the grammar gives null results."""
     out = []
@@ -169,7 +170,7 @@ def first_mapping(text: str | None, known: tuple[str, ...] = ("answer", "request
     return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def first_mappings(texts: pa.Array) -> pa.Array:
     """:func:`first_mapping` of a column."""
     return pa.array([first_mapping(t) for t in texts.to_pylist()], pa.string())
@@ -181,7 +182,7 @@ def estimated_bits(kind: str, n: int, k: int = 0) -> int:
     return max(1, math.ceil((math.lgamma(n + 1) - lower) / math.log(2))) if n > 1 and not (kind == "comb" and k in (0, n)) and not (kind == "perm" and k == 0) else 1
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def comb_bits(n: pa.Array, k: pa.Array) -> pa.Array:
     """:func:`estimated_bits` of C(n, k)."""
     return pa.array([None if a is None or b is None else estimated_bits("comb", a, b) for a, b in zip(n.to_pylist(), k.to_pylist())], pa.int32())

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomspan.functions.text import hash_number, hashed_id
 from loomspan.runtime import stage
@@ -91,7 +92,7 @@ def compatible_fold(column: str) -> Column:
     return _folded(F.col(column))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _folded(batch: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in batch.to_pylist()], pa.string())
 

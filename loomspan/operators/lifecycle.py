@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from loomspan.operators.queue import TERMINAL
 from loomspan.runtime import path_exists, replace_text
 
-_FREE = {"claimed_by": F.lit(None).cast("string"), "claimed_at": F.lit(None).cast("double")}
+
+
+def _free() -> dict[str, Column]:
+    return {"claimed_by": F.lit(None).cast("string"), "claimed_at": F.lit(None).cast("double")}
 
 
 def _changed(jobs: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
@@ -31,7 +34,7 @@ def complete(jobs: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = acks.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("at", "worker", "result")).alias("_ack"))
     met = jobs.join(first, "id", "left")
     ok = F.coalesce((F.col("state") == "processing") & (F.col("claimed_by") == F.col("_ack.worker")), F.lit(False))
-    values = {"state": F.lit("completed"), "updated_at": F.col("_ack.at"), "completed_at": F.col("_ack.at"), "last_error": F.lit(None), "result_json": F.col("_ack.result"), **_FREE}
+    values = {"state": F.lit("completed"), "updated_at": F.col("_ack.at"), "completed_at": F.col("_ack.at"), "last_error": F.lit(None), "result_json": F.col("_ack.result"), **_free()}
     after = met.withColumns({c: F.when(ok, v).otherwise(F.col(c)).cast(jobs.schema[c].dataType) for c, v in values.items()}).select(*jobs.columns)
     accepted = met.where(ok).select("id")
     return after, first.join(accepted, "id", "left_anti").select("id", F.col("_ack.worker").alias("worker"))
@@ -48,7 +51,7 @@ def fail(jobs: DataFrame, failures: DataFrame, base: float, most: float, now: fl
     held = F.coalesce((F.col("state") == "processing") & (F.col("claimed_by") == F.col("_f.worker")), F.lit(False))
     spent = F.coalesce(F.col("_f.permanent"), F.lit(False)) | (F.col("attempts") >= F.col("max_attempts"))
     delay = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.col("attempts") - 1, F.lit(0))))
-    values = {"state": F.when(spent, "failed").otherwise("pending"), "available_at": F.when(spent, F.col("available_at")).otherwise(F.lit(now) + delay), "updated_at": F.lit(now), "last_error": F.col("_f.error"), "completed_at": F.when(spent, F.lit(now)), **_FREE}
+    values = {"state": F.when(spent, "failed").otherwise("pending"), "available_at": F.when(spent, F.col("available_at")).otherwise(F.lit(now) + delay), "updated_at": F.lit(now), "last_error": F.col("_f.error"), "completed_at": F.when(spent, F.lit(now)), **_free()}
     return met.withColumns({c: F.when(held, v).otherwise(F.col(c)).cast(jobs.schema[c].dataType) for c, v in values.items()}).select(*jobs.columns)
 
 
@@ -57,7 +60,7 @@ def release(jobs: DataFrame, ids: DataFrame, worker: str, now: float, delay: flo
     asked = ids.select("id").distinct().withColumn("_asked", F.lit(True))
     met = jobs.join(asked, "id", "left")
     ok = F.coalesce(F.col("_asked") & (F.col("state") == "processing") & (F.col("claimed_by") == worker), F.lit(False))
-    return _changed(met, ok, {"state": F.lit("pending"), "available_at": F.lit(now + delay), "updated_at": F.lit(now), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), **_FREE}).select(*jobs.columns)
+    return _changed(met, ok, {"state": F.lit("pending"), "available_at": F.lit(now + delay), "updated_at": F.lit(now), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), **_free()}).select(*jobs.columns)
 
 
 def heartbeat(jobs: DataFrame, worker: str, now: float) -> DataFrame:
@@ -68,7 +71,7 @@ def heartbeat(jobs: DataFrame, worker: str, now: float) -> DataFrame:
 def recover(jobs: DataFrame, now: float, stale_after: float) -> DataFrame:
     """Leases that ran out go back to pending; the attempt isn't charged."""
     stale = F.coalesce((F.col("state") == "processing") & (F.col("claimed_at").isNull() | (F.col("claimed_at") <= now - stale_after)), F.lit(False))
-    return _changed(jobs, stale, {"state": F.lit("pending"), "available_at": F.lit(now), "updated_at": F.lit(now), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), "last_error": F.coalesce("last_error", F.lit("worker_interrupted")), **_FREE})
+    return _changed(jobs, stale, {"state": F.lit("pending"), "available_at": F.lit(now), "updated_at": F.lit(now), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), "last_error": F.coalesce("last_error", F.lit("worker_interrupted")), **_free()})
 
 
 def redeliver(jobs: DataFrame, ids: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +80,7 @@ def redeliver(jobs: DataFrame, ids: DataFrame, now: float) -> tuple[DataFrame, D
     met = jobs.join(asked.withColumn("_asked", F.lit(True)), "id", "left")
     ok = F.coalesce(F.col("_asked") & F.col("state").isin(*TERMINAL), F.lit(False))
     none = F.lit(None)
-    after = _changed(met, ok, {"state": F.lit("pending"), "attempts": F.lit(0), "available_at": F.lit(now), "updated_at": F.lit(now), "completed_at": none, "last_error": none, "result_json": none, **_FREE}).select(*jobs.columns)
+    after = _changed(met, ok, {"state": F.lit("pending"), "attempts": F.lit(0), "available_at": F.lit(now), "updated_at": F.lit(now), "completed_at": none, "last_error": none, "result_json": none, **_free()}).select(*jobs.columns)
     return after, asked.join(jobs.where(F.col("state").isin(*TERMINAL)).select("id"), "id", "left_anti")
 
 

@@ -5,6 +5,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.functions.text import clean, compatible
 
@@ -46,7 +47,7 @@ def _exact(text: str | None) -> str:
 _FRAGMENT_SCORES = pa.struct([("correct", pa.bool_()), ("abstained", pa.bool_()), ("hallucinated", pa.bool_())])
 
 
-@F.arrow_udf("correct boolean, abstained boolean, hallucinated boolean")
+@F.arrow_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("correct", "abstained", "hallucinated")]))
 def _fragment_scores(answers: pa.Array, expected: pa.Array, forbidden: pa.Array, answerable: pa.Array) -> pa.Array:
     marks, out = [_exact(x) for x in ABSTENTION], []
     for answer, want, bar, can in zip(answers.to_pylist(), expected.to_pylist(), forbidden.to_pylist(), answerable.to_pylist()):
