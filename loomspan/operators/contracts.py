@@ -49,6 +49,7 @@ def training_rules() -> dict[str, Column]:
         "ends_with_assistant": F.element_at(roles, -1) == "assistant",
         "no_empty_message": F.forall("messages", lambda m: F.length(F.trim(m["content"])) > 0),
         "target_is_json": F.try_parse_json("target").isNotNull(),
+        "provenance_given": F.coalesce(F.length(F.trim("provenance_sha256")) > 0, F.lit(False)),
         "target_holds_answer": F.coalesce(F.get_json_object("target", "$.answer") == last, F.lit(False)),
     }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import civil, mathx, units
-from loomspan.operators import hub, intervals, queue, ranking, timeline
-from loomspan.runtime import table
+from loomspan.operators import hub, intervals, queue, ranking, scoring, timeline
+from loomspan.runtime import stage, table
 
 NOW = 1767225600.0
 
@@ -132,8 +133,46 @@ def a8_queue_counters(spark, d):
 
 
 def w16_claim_order(spark, d):
-    jobs = table(spark, d, "injection_jobs").withColumn("state", F.lit("pending"))
-    return queue.claim_order(jobs, 1735689600.0, 100).select("sequence", "id")
+    """Tickets in order from the head of the queue at a time when all that wait are due, and at one when some aren't yet."""
+    jobs = stage(queue.latest_jobs(table(spark, d, "injection_jobs")))
+    parts = [queue.claim_order(jobs, at, 25).select(F.lit(at).alias("as_of"), "sequence", "id") for at in (NOW, 1735689600.0)]
+    return parts[0].unionByName(parts[1])
+
+
+def d1_lookup(spark, d):
+    jobs = queue.latest_jobs(table(spark, d, "injection_jobs"))
+    ids = [r[0] for r in jobs.orderBy(F.desc("sequence")).select("id").limit(40).collect()]
+    return queue.lookup_in_order([*ids, ids[0], "unknown"] if ids else [], jobs).select("position", "id", "state")
+
+
+def u6_purged(spark, d):
+    jobs = stage(queue.latest_jobs(table(spark, d, "injection_jobs")))
+    return queue.purge(jobs, jobs.where("state = 'completed' AND sequence % 2 = 0").select("id")).select("id", "state")
+
+
+def j16_corrected(spark, d):
+    """Facts after corrections: every fact with an even last digit of its hash retracts the one before it."""
+    facts = stage(_facts(spark, d))
+    told = timeline.with_previous(facts).where("previous IS NOT NULL").select("fact_id", F.col("previous.fact_id").alias("target_id"), F.lit("retracts").alias("kind"))
+    edges = told.where(F.substring(F.sha2("fact_id", 256), 64, 1).isin("0", "2", "4", "6", "8"))
+    return timeline.effective(facts, edges).select("fact_id", "entity", "predicate")
+
+
+def u4_correction_problems(spark, d):
+    """Problems of corrections among parts: each corrects its number's remainder by 97, which may be itself, unknown or on a cycle."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("fact_id"), F.col("p_partkey").alias("n"))
+    facts = parts.where("n % 10 <> 3").select(F.lit("e").alias("entity"), F.when(F.col("n") % 4 == 0, "p").otherwise("q").alias("predicate"), F.lit(11).alias("precision"), F.col("n").alias("position"), F.lit("o").alias("object"), "fact_id")
+    edges = parts.where("n % 10 <> 3 AND n < 200").select("fact_id", ((F.col("n") * 7) % 97).cast("string").alias("target_id"), F.lit("supersedes").alias("kind"))
+    return timeline.correction_problems(facts, edges)
+
+
+def j20_retrieval(spark, d):
+    """Documents returned for their own source by size, against the largest three of each source."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("episode"), "n_chars", "doc_id")
+    by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    returned = docs.withColumn("rank", by(F.desc("n_chars"), "doc_id")).where("rank <= 10").select("query_id", "episode", "rank")
+    expected = docs.withColumn("r", by(F.desc("doc_id"))).where("r <= 3").select("query_id", "episode").unionByName(returned.where("rank = 2").select("query_id", "episode")).distinct()
+    return scoring.retrieval(returned, expected)
 
 
 def j9_run_states(spark, d):
@@ -213,7 +252,7 @@ def a22_inversions(spark, d):
     return ranking.inversions(table(spark, d, "memory_events").select("source_type", "ingest_order", "created_at"), ["source_type"], F.col("ingest_order"), F.unix_micros(F.col("created_at").cast("timestamp")))
 
 
-QUERIES = {f.__name__: f for f in (a24_contradictions, w3_previous_fact, w4_latest_state, f17_changes, f17_durations, j13_two_hops, u4_reference_cycles, f14_day_numbers, f20_calendar_ages, f16_units, f18_distances, f37_scalar_math, a27_statistics, f38_expressions, d2_ticket_conflicts, k3_latest_jobs, a8_queue_counters, w16_claim_order, j9_run_states, j8_complete_runs, o10_recent_runs, a21_latencies, proj10_readable, proj20_policy_problems, d3_merged_spaces, d4_best_evidence, w9_budget, w10_prefix_budget, w11_stratified, w12_even_sample, w13_round_robin, w14_chunks, a22_inversions)}
+QUERIES = {f.__name__: f for f in (a24_contradictions, w3_previous_fact, w4_latest_state, f17_changes, f17_durations, j13_two_hops, u4_reference_cycles, f14_day_numbers, f20_calendar_ages, f16_units, f18_distances, f37_scalar_math, a27_statistics, f38_expressions, d2_ticket_conflicts, k3_latest_jobs, a8_queue_counters, w16_claim_order, d1_lookup, u6_purged, j16_corrected, u4_correction_problems, j20_retrieval, j9_run_states, j8_complete_runs, o10_recent_runs, a21_latencies, proj10_readable, proj20_policy_problems, d3_merged_spaces, d4_best_evidence, w9_budget, w10_prefix_budget, w11_stratified, w12_even_sample, w13_round_robin, w14_chunks, a22_inversions)}
 
 FACTS = r"""
 stated AS (
@@ -336,7 +375,24 @@ SELECT o_orderkey,
     "a8_queue_counters": f"""WITH {_JOBS} SELECT count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'processing') AS processing, count(*) FILTER (WHERE state = 'completed') AS completed,
   count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'pending' AND available_at <= {NOW}) AS ready, round(min(enqueued_at) FILTER (WHERE state NOT IN ('completed', 'failed')), 3) AS oldest_unfinished,
   sum(attempts)::bigint AS attempts, (SELECT last_error FROM latest WHERE last_error IS NOT NULL ORDER BY updated_at DESC, sequence DESC LIMIT 1) AS latest_error FROM latest""",
-    "w16_claim_order": "SELECT sequence, id FROM injection_jobs WHERE sequence < coalesce((SELECT min(sequence) FROM injection_jobs WHERE available_at > 1735689600.0), 9223372036854775807) ORDER BY sequence LIMIT 100",
+    "w16_claim_order": f"""WITH {_JOBS}, p AS (SELECT sequence, id, available_at, unnest([1767225600.0::double, 1735689600.0::double]) AS as_of FROM latest WHERE state = 'pending'),
+ready AS (SELECT * FROM p WHERE sequence < coalesce((SELECT min(sequence) FROM p q WHERE q.as_of = p.as_of AND q.available_at > q.as_of), 9223372036854775807))
+SELECT as_of, sequence, id FROM ready QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sequence) <= 25""",
+    "d1_lookup": f"WITH {_JOBS} SELECT row_number() OVER (ORDER BY sequence DESC) - 1 AS position, id, state FROM latest ORDER BY sequence DESC LIMIT 40",
+    "u6_purged": f"WITH {_JOBS} SELECT id, state FROM latest WHERE NOT (state = 'completed' AND sequence % 2 = 0)",
+    "j16_corrected": f"""WITH {FACTS}, c AS (SELECT entity, predicate, n, one[1] AS id, lag(CASE WHEN n = 1 THEN one[1] END) OVER (PARTITION BY entity, predicate ORDER BY position, precision) AS before FROM instants),
+gone AS (SELECT before AS id FROM c WHERE n = 1 AND before IS NOT NULL AND sha256(id)[64:64] IN ('0', '2', '4', '6', '8'))
+SELECT fact_id, entity, predicate FROM dated WHERE fact_id NOT IN (SELECT id FROM gone)""",
+    "u4_correction_problems": """WITH RECURSIVE f AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 4 = 0 THEN 'p' ELSE 'q' END AS k FROM part WHERE p_partkey % 10 <> 3),
+e AS (SELECT n, k, (n * 7) % 97 AS t FROM f WHERE n < 200),
+w AS (SELECT n, t AS reached, 1 AS steps FROM e WHERE n <> t UNION SELECT w.n, e.t, steps + 1 FROM w JOIN e ON e.n = w.reached AND e.n <> e.t WHERE w.reached <> w.n AND steps < 100)
+SELECT n::varchar AS fact_id, t::varchar AS target_id, 'unknown_target' AS problem FROM e WHERE t NOT IN (SELECT n FROM f)
+UNION ALL SELECT n::varchar, t::varchar, 'self' FROM e WHERE n = t
+UNION ALL SELECT e.n::varchar, t::varchar, 'other_key' FROM e JOIN f ON f.n = e.t WHERE f.k <> e.k
+UNION ALL SELECT DISTINCT n::varchar, NULL, 'cycle' FROM w WHERE n = reached""",
+    "j20_retrieval": """WITH r AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS last FROM documents),
+e AS (SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN rank END AS rank FROM r WHERE last <= 3 OR rank = 2)
+SELECT query_id, coalesce(min(rank) = 1, false) AS top1, coalesce(min(rank) <= 5, false) AS top5, count(rank) = count(*) AS complete FROM e GROUP BY query_id""",
     "j9_run_states": f"WITH {_RUN_STATES} SELECT * FROM states",
     "j8_complete_runs": f"WITH {_RUN_STATES} SELECT * FROM states WHERE n_jobs = expected_count AND n_completed + n_failed = expected_count",
     "o10_recent_runs": "SELECT run_id, state FROM injection_test_runs ORDER BY created_at DESC, run_id LIMIT 250",

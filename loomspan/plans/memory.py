@@ -12,7 +12,7 @@ AS_OF = "2026-01-01 00:00:00"
 HISTORY = ["la", "carte"]
 QUERY_TEXT = "Température du capteur rouge introuvable"
 QUERY = ["temperature", "du", "capteur", "rouge", "introuvable"]
-FORGOTTEN = "generated"
+FORGOTTEN, TAUGHT = "generated", "executed"
 
 
 CONTEXT = {"space": "cours", "lang": "fr"}
@@ -94,11 +94,18 @@ def u1_forget_continuations(spark, d):
     return kept.groupBy("episode").agg(F.count(F.lit(1)).alias("n_events"), F.min("ingest_order").alias("first_order"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
+def u1_rebuilt_continuations(spark, d):
+    """What the memory has learnt after a deletion: nothing bridges a hole."""
+    log = _staged(spark, d)
+    kept = stage(memory.forget(log, log.where(F.col("source_type") == TAUGHT)))
+    return memory.continuations(memory.evidence_spans(kept)).groupBy("length", "pattern", "next_token").agg(F.sum("support").alias("support"))
+
+
 def a11_episode_bounds(spark, d):
     return _log(spark, d).groupBy("episode").agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n_events"), F.sum(F.col("trusted").cast("long")).alias("n_trusted"))
 
 
-QUERIES = {f.__name__: f for f in (predict_next, f1_event_tokens, f2_document_concepts, a7_stats, d2_key_conflicts, w1_segments, w2_evidence_spans, a1_continuations, a2_decayed_support, w5_lineage, w6_paths, recall_ranked, recall_newest, u1_forget_continuations, a11_episode_bounds)}
+QUERIES = {f.__name__: f for f in (predict_next, f1_event_tokens, f2_document_concepts, a7_stats, d2_key_conflicts, w1_segments, w2_evidence_spans, a1_continuations, a2_decayed_support, w5_lineage, w6_paths, recall_ranked, recall_newest, u1_forget_continuations, u1_rebuilt_continuations, a11_episode_bounds)}
 
 _TOKENS = SQL_TOKENS.format("text")
 EVENTS = f"""
@@ -205,5 +212,10 @@ holes AS (
 )
 SELECT CASE WHEN part = 0 THEN episode ELSE episode || '/' || part END AS episode, count(*) AS n_events, min(ingest_order) AS first_order, sum(len(tokens))::bigint AS n_tokens
 FROM holes WHERE source_type <> '{FORGOTTEN}' GROUP BY ALL""",
+    "u1_rebuilt_continuations": f"""WITH {EVENTS},
+holes AS (SELECT *, coalesce(sum(CASE WHEN source_type = '{TAUGHT}' THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY ingest_order DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS part FROM ev),
+kept AS (SELECT * REPLACE (episode || '/' || part AS episode) FROM holes WHERE source_type <> '{TAUGHT}')
+{GRAMS[len(EVENTS):].replace('FROM ev)', 'FROM kept)')}
+SELECT length, pattern, next_token, count(*) AS support FROM spans GROUP BY length, pattern, next_token""",
     "a11_episode_bounds": f"WITH {EVENTS} SELECT episode, min(created_at) AS first_at, max(created_at) AS last_at, count(*) AS n_events, count(*) FILTER (WHERE trusted) AS n_trusted FROM ev GROUP BY episode",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import contracts, hub, memory, scoring, sinks
 from loomspan.sources import jsonio, rdf
-from loomspan.runtime import table
+from loomspan.plans.quality import WELL_FORMED
+from loomspan.runtime import shared_dir, table
 
 LIMITS = [200, 400]
 
@@ -62,9 +65,9 @@ def f31_claim_text(spark, d):
     return rows.select("statement_id", rdf.iri_label("subject_value").alias("subject"), F.concat_ws(" — ", "predicate_label", "object_label").alias("text"))
 
 
-def j11_missing_evidence(spark, d):
-    known = table(spark, d, "training_examples").where("size(evidence_ids) > 1").select(F.explode("evidence_ids").alias("id")).distinct()
-    return contracts.missing_keys(table(spark, d, "training_examples"), "evidence_ids", known, "id")
+def j11_missing_keys(spark, d):
+    """Episodes that tickets name and that aren't there."""
+    return contracts.missing_keys(table(spark, d, "injection_jobs"), "episode_id", table(spark, d, "episodes"), "id")
 
 
 def p8_training_violations(spark, d):
@@ -195,10 +198,25 @@ def f9_recency(spark, d):
 
 
 def f12_context_match(spark, d):
-    as_map = F.from_json("context_json", "map<string,string>")
-    wanted = F.create_map(F.lit("space"), F.lit("cours"), F.lit("lang"), F.lit("fr"))
-    rows = table(spark, d, "episodes").where(F.col("context_json").rlike(r'^\{("(lang|space)":"[a-z]+",?)*\}$')).select("id", as_map.alias("context"))
-    return rows.select("id", F.round(memory.context_match(F.col("context"), wanted), 6).alias("context_match"))
+    wanted = memory.wanted_context({"space": "cours", "lang": "fr"})
+    return table(spark, d, "episodes").select("id", F.round(memory.context_match(T.json_entries(F.col("context_json")), wanted), 6).alias("context_match"))
+
+
+def s8_ntriples_round_trip(spark, d):
+    """The claims between IRIs written as N-Triples and read back, with a broken line in between."""
+    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    claims = table(spark, d, "claims").where("object_kind = 'iri' AND subject_kind = 'iri'").select("subject_value", "predicate_iri", "object_value").distinct()
+    lines = claims.select(F.explode(F.array(F.concat_ws(" ", iri("subject_value"), iri("predicate_iri"), iri("object_value"), F.lit(".")), F.lit("<broken> no triple ."))).alias("value"))
+    path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}.nt"
+    lines.write.text(path)
+    rows = rdf.ntriples(spark, path)
+    return rows.where("error IS NULL").select("subject_value", "predicate_iri", "object_value")
+
+
+def f29_json_objects(spark, d):
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.col("target"), F.lit("\n```\n"))
+    found = table(spark, d, "training_examples").select("row_id", T.json_object(fenced).alias("o"))
+    return found.select("row_id", F.get_json_object("o", "$.answer").alias("answer"), F.get_json_object("o", "$.grounding").alias("grounding"))
 
 
 def f22_ids(spark, d):
@@ -267,7 +285,7 @@ def a2_sessions(spark, d):
     return table(spark, d, "events").groupBy(s.alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (a10_variants, a29_totals, w17_preferred_labels, s12_components, p3_provenance_prefix, p4_confidence, p5_first_writer, j10_claim_sources, f31_claim_text, j11_missing_evidence, p8_training_violations, s16_duplicate_examples, s17_lengths, a23_task_counts, a25_split_inventory, j19_shared_keys, p0_summary_gaps, a16_coverage, a18_rates, a19_evidence_scores, a20_arms, f27_anchors, f28_fragments, j18_leaks, g6_capped_tasks, g4_synthetic_worlds, s3_event_props, s4_json_facts, s4_json_problems, s5_categories, s7_filenames, f4_slugs, f5_clean_titles, f6_signatures, f9_recency, f12_context_match, f22_ids, f24_overlap, f34_intents, p21_hub_keys, p7_previews, k2_upsert_ignore, k3_upsert_update, k6_json_lines, k5_page, t12_windows, a2_sessions)}
+QUERIES = {f.__name__: f for f in (a10_variants, a29_totals, w17_preferred_labels, s12_components, p3_provenance_prefix, p4_confidence, p5_first_writer, j10_claim_sources, f31_claim_text, j11_missing_keys, p8_training_violations, s16_duplicate_examples, s17_lengths, a23_task_counts, a25_split_inventory, j19_shared_keys, p0_summary_gaps, a16_coverage, a18_rates, a19_evidence_scores, a20_arms, f27_anchors, f28_fragments, j18_leaks, g6_capped_tasks, g4_synthetic_worlds, s3_event_props, s4_json_facts, s4_json_problems, s5_categories, s7_filenames, f4_slugs, f5_clean_titles, f6_signatures, f9_recency, f12_context_match, s8_ntriples_round_trip, f29_json_objects, f22_ids, f24_overlap, f34_intents, p21_hub_keys, p7_previews, k2_upsert_ignore, k3_upsert_update, k6_json_lines, k5_page, t12_windows, a2_sessions)}
 # pN_ names belong to the problems of TESTDATA.md; predicates and projections of the inventory are registered as projN_
 QUERIES = {f"proj{name[1:]}" if name.startswith("p") else name: f for name, f in QUERIES.items()}
 
@@ -293,11 +311,10 @@ QUALIFY row_number() OVER (PARTITION BY predicate_iri ORDER BY CASE object_langu
 c AS (SELECT DISTINCT statement_id, confidence_level FROM claims)
 SELECT statement_id, confidence_level, coalesce(n_sources, 0) AS n_sources, entry_name FROM c LEFT JOIN n USING (statement_id)""",
     "f31_claim_text": "SELECT DISTINCT statement_id, replace(regexp_replace(subject_value, '^.*/', ''), '_', ' ') AS subject, concat_ws(' — ', predicate_label, object_label) AS text FROM claims",
-    "j11_missing_evidence": """WITH known AS (SELECT DISTINCT unnest(evidence_ids) AS id FROM training_examples WHERE len(evidence_ids) > 1), used AS (SELECT DISTINCT unnest(evidence_ids) AS missing FROM training_examples)
-SELECT missing FROM used WHERE missing NOT IN (SELECT id FROM known)""",
-    "proj8_training_violations": """WITH r AS (SELECT row_id AS key, example_id, list_transform(messages, lambda m: m.role) AS roles, messages[-1].content AS last, target, len(list_filter(messages, lambda m: trim(m.content) = '')) AS empty FROM training_examples)
+    "j11_missing_keys": "SELECT DISTINCT episode_id AS missing FROM injection_jobs WHERE episode_id IS NOT NULL AND episode_id NOT IN (SELECT id FROM episodes)",
+    "proj8_training_violations": """WITH r AS (SELECT row_id AS key, example_id, provenance_sha256 AS prov, list_transform(messages, lambda m: m.role) AS roles, messages[-1].content AS last, target, len(list_filter(messages, lambda m: trim(m.content) = '')) AS empty FROM training_examples)
 SELECT key, 'id_given' AS rule FROM r WHERE coalesce(trim(example_id), '') = '' UNION ALL SELECT key, 'starts_with_system' FROM r WHERE roles[1] IS DISTINCT FROM 'system' UNION ALL SELECT key, 'ends_with_assistant' FROM r WHERE roles[-1] IS DISTINCT FROM 'assistant'
-UNION ALL SELECT key, 'no_empty_message' FROM r WHERE empty > 0 UNION ALL SELECT key, 'target_is_json' FROM r WHERE target IS NULL OR NOT json_valid(target)
+UNION ALL SELECT key, 'provenance_given' FROM r WHERE coalesce(trim(prov), '') = '' UNION ALL SELECT key, 'no_empty_message' FROM r WHERE empty > 0 UNION ALL SELECT key, 'target_is_json' FROM r WHERE target IS NULL OR NOT json_valid(target)
 UNION ALL SELECT key, 'target_holds_answer' FROM r WHERE coalesce(CASE WHEN json_valid(target) THEN json_extract_string(target, '$.answer') END, '') IS DISTINCT FROM last""",
     "s16_duplicate_examples": "SELECT jsonl_path, example_id, count(*) AS n, count(DISTINCT target) AS n_targets FROM training_examples GROUP BY ALL HAVING n > 1",
     "s17_lengths": f"""WITH s AS (SELECT task, list_sum(list_transform(messages, lambda m: length(m.content)))::integer AS n FROM training_examples), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n) AS rn, count(*) OVER (PARTITION BY task) AS t FROM s)
@@ -334,9 +351,11 @@ SELECT 'ex-' || sha256(world)[1:20] AS example_id, ['direct_recall', 'multi_hop'
 SELECT id, CASE WHEN base = '' THEN 'concept-' || sha256(k)[1:8] WHEN length(base) > 48 THEN regexp_replace(base[1:39], '-+$', '') || '-' || sha256(k)[1:8] ELSE base END AS slug FROM s""",
     "f5_clean_titles": f"SELECT doc_id, CASE WHEN length({_CLEAN}) > 40 THEN {_CLEAN}[1:39] || '…' ELSE {_CLEAN} END AS head, length({_CLEAN}) > 40 AS shortened FROM documents",
     "f9_recency": "SELECT id, round(1.0 / (1.0 + greatest(epoch(TIMESTAMP '2026-01-01') - epoch(updated_at), 0) / 86400.0 / 30.0), 6) AS recency FROM episodes",
-    "f12_context_match": """WITH e AS (SELECT id, json_extract_string(context_json, '$.space') AS s, json_extract_string(context_json, '$.lang') AS l, context_json = '{}' AS none FROM episodes WHERE regexp_matches(context_json, '^\\{("(lang|space)":"[a-z]+",?)*\\}$')),
-m AS (SELECT id, none, (s IS NOT NULL)::integer + (l IS NOT NULL)::integer AS n, coalesce(s = 'cours', false)::integer + coalesce(l = 'fr', false)::integer AS shared FROM e)
-SELECT id, CASE WHEN none THEN 0.25 ELSE round(shared / (n + 2 - shared)::double, 6) END AS context_match FROM m""",
+    "f12_context_match": f"""WITH e AS (SELECT id, context_json, {WELL_FORMED.format('context_json')} AND json_type(context_json) = 'OBJECT' AS good FROM episodes),
+m AS (SELECT id, CASE WHEN good THEN len(json_keys(context_json)) ELSE 0 END AS n, CASE WHEN good THEN coalesce(json_extract(context_json, '$.space')::varchar = '"cours"', false)::int + coalesce(json_extract(context_json, '$.lang')::varchar = '"fr"', false)::int ELSE 0 END AS shared FROM e)
+SELECT id, CASE WHEN n = 0 THEN 0.25 ELSE round(shared / (n + 2 - shared)::double, 6) END AS context_match FROM m""",
+    "s8_ntriples_round_trip": "SELECT DISTINCT subject_value, predicate_iri, object_value FROM claims WHERE object_kind = 'iri' AND subject_kind = 'iri'",
+    "f29_json_objects": "SELECT row_id, target ->> '$.answer' AS answer, target ->> '$.grounding' AS grounding FROM training_examples",
     "f22_ids": "SELECT id, 'ev:' || sha256(canonical_key)[1:20] AS evidence_id, (('0x' || sha256(canonical_key)[1:16])::ubigint % 997)::bigint AS number FROM concepts",
     "f24_overlap": f"""WITH d AS (SELECT doc_id, {T.SQL_TOKENS.format('title')} AS q, {T.SQL_TOKENS.format('text')} AS t FROM documents WHERE title IS NOT NULL)
 SELECT doc_id, len(list_filter(list_intersect(list_distinct(q), list_distinct(t)), lambda x: length(x) > 1 AND x NOT IN ('le', 'la', 'de', 'the', 'of', 'que')))::integer AS overlap FROM d""",

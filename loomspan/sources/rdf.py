@@ -15,7 +15,8 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote, urljoin, urlsplit
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -149,24 +150,69 @@ def statement_id(s: dict, p: dict, o: dict) -> str:
 SCHEMA = "entry_name string, line_number long, statement_id string, about_id string, subject_kind string, subject_value string, predicate_iri string, object_kind string, object_value string, object_datatype string, object_language string, error string"
 
 
+class _Lines:
+    """Lines with their number and the last one read."""
+
+    def __init__(self, lines: Iterator[str]) -> None:
+        self.lines, self.number, self.last = iter(lines), 0, ""
+
+    def __iter__(self) -> Iterator[str]:
+        return self
+
+    def __next__(self) -> str:
+        self.last = next(self.lines)
+        self.number += 1
+        return self.last
+
+
 def _rows(entry: str, lines: Iterator[str]) -> Iterator[tuple]:
-    """A row for each triple; a quoted triple is also a row of its own; a broken file ends in a row with ``error``."""
-    scope = Scope()
-    number = 0
+    """A row for each triple; a quoted triple is also a row of its own.
+
+    A statement that is no Turtle, or too long, is one row with ``error``;
+    reading goes on behind the next line that ends a statement.
+    """
+    scope, source = Scope(), _Lines(lines)
 
     def plain(number, s, p, o):
         return (entry, number, statement_id(s, p, o), None, s["kind"], s["value"], p["value"], o["kind"], o["value"], o.get("datatype"), o.get("language"), None)
 
-    try:
-        for number, tokens in statements(lines):
-            for s, p, o in scope.triples(tokens):
-                if s["kind"] == "triple":
-                    yield plain(number, *s["triple"])
-                    yield (entry, number, statement_id(s, p, o), s["value"], "triple", s["value"], p["value"], o["kind"], o["value"], o.get("datatype"), o.get("language"), None)
-                else:
-                    yield plain(number, s, p, o)
-    except (ValueError, IndexError, StopIteration) as e:
-        yield (entry, number, *[None] * 9, str(e)[:500] or type(e).__name__)
+    while True:
+        before = source.number
+        try:
+            for number, tokens in statements(source):
+                for s, p, o in scope.triples(tokens):
+                    if s["kind"] == "triple":
+                        yield plain(before + number, *s["triple"])
+                        yield (entry, before + number, statement_id(s, p, o), s["value"], "triple", s["value"], p["value"], o["kind"], o["value"], o.get("datatype"), o.get("language"), None)
+                    else:
+                        yield plain(before + number, s, p, o)
+            return
+        except (ValueError, IndexError, StopIteration) as e:
+            yield (entry, source.number, *[None] * 9, str(e)[:500] or type(e).__name__)
+            while not source.last.rstrip().endswith("."):
+                if next(source, None) is None:
+                    return
+
+
+def ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of N-Triples(-star) files of any size: a triple stands on a line of its own, so files are split.
+
+    The same columns as the data source, but for line_number, which is null; a
+    line that is no triple is a row with ``error``.  Works in any file system.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for entry, line in zip(batch.column("entry").to_pylist(), batch.column("value").to_pylist()):
+                out += ((entry, None, *row[2:]) for row in _rows(entry, [line + "\n"]))
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = [pa.int64() if n == "line_number" else pa.string() for n in names]
+    lines = spark.read.text(path).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("entry"))
+    return lines.mapInArrow(run, SCHEMA)
 
 
 def safe_members(archive: zipfile.ZipFile) -> list[str]:
