@@ -60,7 +60,7 @@ def lookup_in_order(ids: list[str], jobs: DataFrame) -> DataFrame:
         raise ValueError("at most 250 ids")
     wanted = list(dict.fromkeys(ids))
     asked = jobs.sparkSession.createDataFrame(list(enumerate(wanted)), "position long, id string")
-    return jobs.join(F.broadcast(asked), "id").orderBy("position")
+    return jobs.drop("position").join(F.broadcast(asked), "id").orderBy("position")
 
 
 def purge(jobs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.plans import evidence, facts, memory, quality, records
+from loomspan.plans import evidence, facts, lifecycle, memory, quality, records
 
 SOURCE = "/root/testdata/sf0.001"
 IDS = {"memory_events": "ingest_order", "injection_jobs": "sequence", "documents": "doc_id", "training_examples": "row_id", "concepts": "id"}
@@ -30,7 +30,7 @@ def folder(spark, request, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("module", [quality, memory, facts, records, evidence], ids=lambda m: m.__name__.rpartition(".")[2])
+@pytest.mark.parametrize("module", [quality, memory, facts, records, evidence, lifecycle], ids=lambda m: m.__name__.rpartition(".")[2])
 def test_no_query_fails(spark, folder, module):
     for name, query in module.QUERIES.items():
         assert query(spark, folder).count() >= 0, name
