@@ -53,17 +53,18 @@ def latest_state(facts: DataFrame) -> DataFrame:
 def changes(facts: DataFrame) -> DataFrame:
     """Derived measures between a numeric fact and its previous one of the same precision.
 
-    kind is interval_from_previous (in the unit of the precision's axis),
-    absolute_change, percent_change (of the previous value; none from 0) or
-    annual_rate (only between years, none within no time); one row each.
+    kind is interval_from_previous, absolute_change, percent_change (none from
+    0) or annual_rate (none within no time); one row each.  Here percents are of
+    the previous value's size and rates may be taken over days; :func:`derived`
+    divides by the signed value and takes rates between years only.
     """
     rows = with_previous(facts).where("previous IS NOT NULL AND previous.precision = precision")
     new, old = F.col("object").cast("double"), F.col("previous.object").cast("double")
-    elapsed = (F.col("position") - F.col("previous.position")).cast("double")
-    kind = lambda name, value, exact: F.struct(F.lit(name).alias("kind"), value.alias("value"), exact.alias("exact"))
+    days = (F.col("position") - F.col("previous.position")).cast("double")
+    kind = lambda name, value, exact: F.struct(F.lit(name).alias("kind"), value.alias("value"), F.lit(exact).alias("exact"))
     derived = F.array(
-        kind("interval_from_previous", elapsed, F.col("precision") == 11), kind("absolute_change", new - old, F.lit(True)), kind("percent_change", F.when(old != 0, (new - old) / old * 100), F.lit(False)),
-        kind("annual_rate", F.when((F.col("precision") == 9) & (elapsed != 0), (new - old) / F.when(elapsed != 0, elapsed)), F.lit(False)),
+        kind("interval_from_previous", days, True), kind("absolute_change", new - old, True), kind("percent_change", F.when(old != 0, (new - old) / F.abs(old) * 100), False),
+        kind("annual_rate", F.when(days > 0, (new - old) / (days / 365.2425)), False),
     )
     out = rows.select(*INSTANT, "fact_id", F.col("previous.fact_id").alias("previous_id"), F.explode(derived).alias("d"))
     return out.select(*INSTANT, "fact_id", "previous_id", "d.kind", "d.value", "d.exact").where("value IS NOT NULL")
