@@ -17,7 +17,7 @@ from loomspan.operators import blocks
 STATUS = {"user_confirmed": "confirmed", "confirmed": "confirmed", "verified": "verified", "executed": "executed", "observed": "observed", "derived": "derived"}
 CONFIDENCE = {"verified": 1.0, "confirmed": 1.0, "executed": 1.0, "observed": 0.9, "derived": 0.7, "unverified": 0.5}
 EVALUATION_KEYS = ("expected_answer_fragments", "forbidden_answer_fragments", "supporting_claim_ids", "answer_status")
-#: The grammar of a calculation, and of an answer that states its result.
+# The grammar of a calculation, and of an answer that states its result.
 AGE_CALL = re.compile(r"calendar_age\((\d{4}-\d{2}-\d{2}),(\d{4}(?:-\d{2}){0,2}),precision=(day|month|year)\)")
 STATED_AGE = re.compile(r"(\ble calcul donne[ \t]+)(entre[ \t]+[0-9]{1,4}[ \t]+et[ \t]+[0-9]{1,4}|[0-9]{1,4})([ \t]+ans\b)", re.IGNORECASE)
 #: Openings of an object that are tried in an answer.

@@ -211,3 +211,21 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         runtime.shared_dir(Session())
+
+
+def test_reading_goes_on_behind_a_broken_statement():
+    from loomspan.sources import rdf
+
+    lines = ["<http://a> <http://p> <http://b> .\n", "<http://a> oops %% .\n", "<http://c> <http://p>\n", "  ?? <http://d>\n", "  .\n", '<http://e> <http://p> "x" .\n', "<http://f> <http://p>"]
+    rows = list(rdf._rows("f.ttl", iter(lines)))
+    good = [(r[1], r[5]) for r in rows if r[-1] is None]
+    assert good == [(1, "http://a"), (6, "http://e")] and len([r for r in rows if r[-1]]) == 3
+
+
+def test_lines_of_triples_are_read_apart(spark, tmp_path):
+    from loomspan.sources import rdf
+
+    (tmp_path / "x.nt").write_text('<http://a> <http://p> "one" .\n\n# remark\nbroken\n<http://b> <http://p> <http://c> .\n')
+    rows = rdf.ntriples(spark, str(tmp_path)).collect()
+    assert sorted(r.object_value for r in rows if r.error is None) == ["http://c", "one"] and sum(r.error is not None for r in rows) == 1
+    assert {r.entry_name for r in rows} == {"x.nt"}
