@@ -56,8 +56,8 @@ def falling(n: Column, k: Column) -> Column:
 
 
 def json_safe(x: Column) -> Column:
-    """A number as text in full if it is past what JSON readers keep."""
-    return F.when(F.abs(x) > SAFE_INTEGER, x.cast("string"))
+    """A number as text in full if it is past what JSON readers keep; give products past 64 bits as decimals."""
+    return F.when((x > SAFE_INTEGER) | (x < -SAFE_INTEGER), x.cast("string"))
 
 
 class _Problem(Exception):

@@ -100,7 +100,7 @@ def f37_scalar_math(spark, d):
     k = F.col("l_partkey")
     cols = {
         "floor_quotient": mathx.floor_div(-x, q), "floor_remainder": F.round(mathx.floor_mod(-x, q), 4), "whole": mathx.truncated(-x / q), "root": F.round(mathx.safe_sqrt(x), 6), "log_base": F.round(mathx.safe_log(x, q), 6),
-        "divisor": mathx.fold_gcd(k, F.col("l_suppkey") * 6), "choices": mathx.falling(F.col("l_linenumber") + 5, F.col("l_linenumber")), "half_even": F.bround(q / 2), "angle": F.round(F.atan2(x, q), 6), "safe": mathx.json_safe(k * 10_000_000_000_000),
+        "divisor": mathx.fold_gcd(k, F.col("l_suppkey") * 6), "choices": mathx.falling(F.col("l_linenumber") + 5, F.col("l_linenumber")), "half_even": F.bround(q / 2), "angle": F.round(F.atan2(x, q), 6), "safe": mathx.json_safe(k.cast("decimal(20,0)") * F.lit(10_000_000_000_000).cast("decimal(14,0)")),
     }
     return r.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in cols.items()))
 

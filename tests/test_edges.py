@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import mathx
 from loomspan.plans import evidence, facts, lifecycle, memory, quality, records
 
 SOURCE = "/root/testdata/sf0.001"
@@ -34,3 +35,13 @@ def folder(spark, request, tmp_path_factory):
 def test_no_query_fails(spark, folder, module):
     for name, query in module.QUERIES.items():
         assert query(spark, folder).count() >= 0, name
+
+
+def test_scalar_math_past_64_bits(spark, tmp_path):
+    keys = (900, 901, 922_337, 922_338, 1_199_999)
+    rows = spark.createDataFrame([(1, k, 7, 1, 3.0, 10.5) for k in keys], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    rows.withColumn("l_orderkey", rows["l_partkey"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {r["l_orderkey"]: r["safe"] for r in facts.f37_scalar_math(spark, str(tmp_path)).collect()}
+    assert out == {k: str(k * 10**13) if k * 10**13 > 2**53 - 1 else None for k in keys}
+    least = spark.createDataFrame([(-(2**63),), (None,)], "x long")
+    assert [r[0] for r in least.select(mathx.json_safe(F.col("x"))).collect()] == [str(-(2**63)), None]
