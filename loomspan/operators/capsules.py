@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.operators import blocks
+from loomspan.runtime import stage
 
 # How a source's type reads as a status, the confidence of a status, the names that only an evaluation may hold.
 STATUS = {"user_confirmed": "confirmed", "confirmed": "confirmed", "verified": "verified", "executed": "executed", "observed": "observed", "derived": "derived"}
@@ -20,6 +20,8 @@ EVALUATION_KEYS = ("expected_answer_fragments", "forbidden_answer_fragments", "s
 # The grammar of a calculation, and of an answer that states its result.
 AGE_CALL = re.compile(r"calendar_age\((\d{4}-\d{2}-\d{2}),(\d{4}(?:-\d{2}){0,2}),precision=(day|month|year)\)")
 STATED_AGE = re.compile(r"(\ble calcul donne[ \t]+)(entre[ \t]+[0-9]{1,4}[ \t]+et[ \t]+[0-9]{1,4}|[0-9]{1,4})([ \t]+ans\b)", re.IGNORECASE)
+#: Most tokens of a question that is met by pairs of its tokens, and most of a dossier whose own pairs are listed.
+MOST_PAIRED, MOST_TOKENS = 16, 64
 #: Openings of an object that are tried in an answer.
 MOST_STARTS = 32
 
@@ -62,15 +64,57 @@ def matches(questions: DataFrame, facts: DataFrame, top_k: int) -> DataFrame:
     """question_id, dossier, matched, n_facts, rank: the dossiers that share most distinct tokens with a question.
 
     ``questions`` has question_id and tokens, ``facts`` dossier, fact_id and
-    tokens (arrays).  Tokens of a dossier are made distinct before the join.
-    Ranked by matches, then facts, then name.
+    tokens (arrays).  Ranked by matches, then facts, then name.
+
+    Questions of the same tokens are answered once.  Of the dossiers that share
+    one token with a question only the ``top_k`` largest of that token can be
+    among its first; those that share two or more are met by pairs of tokens.  So
+    a token of many questions and many dossiers isn't multiplied out.  Questions
+    of more than MOST_PAIRED tokens are met by single tokens.
+    """
+    asking = stage(questions.select("question_id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("asked")))
+    sets = asking.select("asked").distinct().select("asked", F.explode("asked").alias("token"))
+    sizes = stage(facts.where("dossier IS NOT NULL").groupBy("dossier").agg(F.countDistinct("fact_id").alias("n_facts")))
+    held = facts.where("dossier IS NOT NULL").select("dossier", F.explode("tokens").alias("token")).join(sets.select("token").distinct(), "token", "left_semi").distinct()
+    held = stage(held.join(held.groupBy("dossier").agg(F.count(F.lit(1)).alias("n_tokens")), "dossier").join(sizes, "dossier"))
+
+    order = Window.partitionBy("token").orderBy(F.desc("n_facts"), "dossier")
+    first = held.select("token", "dossier", "n_facts").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top_k).select("token", "dossier")
+    alone = sets.where(F.size("asked") <= MOST_PAIRED).join(first, "token").select("asked", "dossier", "token")
+    long = sets.where(F.size("asked") > MOST_PAIRED).join(held.select("token", "dossier"), "token").select("asked", "dossier", "token")
+
+    wanted = sets.where(F.size("asked").between(2, MOST_PAIRED)).select("asked", F.col("token").alias("a"), F.explode(F.filter("asked", lambda t: t > F.col("token"))).alias("b"))
+    pairs = wanted.select("a", "b").distinct()
+    few, many = held.where(F.col("n_tokens") <= MOST_TOKENS), held.where(F.col("n_tokens") > MOST_TOKENS)
+    named = lambda rows, name: rows.select("dossier", F.col("token").alias(name))
+    in_few = named(few, "a").join(named(few, "b"), "dossier").where("a < b").join(pairs, ["a", "b"]).select("a", "b", "dossier")
+    in_many = pairs.join(named(many, "a"), "a").join(named(many, "b"), ["dossier", "b"]).select("a", "b", "dossier")
+    both = wanted.join(in_few.unionByName(in_many), ["a", "b"]).select("asked", "dossier", F.explode(F.array("a", "b")).alias("token"))
+
+    per = alone.unionByName(both).unionByName(long).groupBy("asked", "dossier").agg(F.countDistinct("token").alias("matched")).join(sizes, "dossier")
+    order = Window.partitionBy("asked").orderBy(F.desc("matched"), F.desc("n_facts"), "dossier")
+    ranked = per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return asking.join(ranked, "asked").select("question_id", "dossier", "matched", "n_facts", "rank")
+
+
+def _beginnings(facts: DataFrame, budget: int) -> DataFrame:
+    """dossier, fact_id, statement, _upto: each dossier's facts by id up to the first that exceeds the budget, with the characters so far.
+
+    A budget ends after as many facts that say something at the latest, so each
+    task passes on that many of a dossier, however large it is.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    held = facts.select("dossier", F.explode("tokens").alias("token")).distinct()
-    sizes = facts.groupBy("dossier").agg(F.countDistinct("fact_id").alias("n_facts"))
-    per = asked.join(held, "token").groupBy("question_id", "dossier").agg(F.count(F.lit(1)).alias("matched")).join(sizes, "dossier")
-    order = Window.partitionBy("question_id").orderBy(F.desc("matched"), F.desc("n_facts"), "dossier")
-    return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("question_id", "dossier", "matched", "n_facts", "rank")
+    rows = facts.where("dossier IS NOT NULL").select("dossier", "fact_id", "statement", F.coalesce(F.length("statement"), F.lit(0)).cast("long").alias("_length"))
+    order = Window.partitionBy("dossier").orderBy("fact_id")
+    told = rows.where("_length > 0").withColumn("_place", F.dense_rank().over(order)).where(F.col("_place") <= budget + 1).dropDuplicates(["dossier", "fact_id"])
+    upto = F.sum("_length").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    told = stage(told.withColumn("_upto", upto).where(F.col("_upto") - F.col("_length") <= budget).select("dossier", "fact_id", "statement", "_upto"))
+    silent = rows.where("_length = 0")
+    if not silent.take(1):
+        return told
+    silent = silent.select("dossier", "fact_id", "statement").dropDuplicates(["dossier", "fact_id"]).join(told.select("dossier", "fact_id"), ["dossier", "fact_id"], "left_anti")
+    before = told.select("dossier", F.col("fact_id").alias("_at"), F.col("_upto").alias("_sum"))
+    placed = silent.join(before, (silent["dossier"] == before["dossier"]) & (F.col("_at") < F.col("fact_id")), "left")
+    return told.unionByName(placed.groupBy(silent["dossier"], "fact_id", "statement").agg(F.coalesce(F.max("_sum"), F.lit(0)).alias("_upto")))
 
 
 def capsules(questions: DataFrame, facts: DataFrame, top_k: int, budget: int) -> DataFrame:
@@ -79,11 +123,17 @@ def capsules(questions: DataFrame, facts: DataFrame, top_k: int, budget: int) ->
     Facts follow the rank of their dossier and their id; the capsule ends before
     the fact that would exceed the budget.  Only the question's id and tokens
     are used, so nothing of an evaluation can reach a capsule.
+
+    Of a dossier a capsule can hold only its beginning; so lengths are summed up
+    once a dossier, not once a question.
     """
     chosen = matches(questions, facts, top_k)
-    rows = chosen.select("question_id", "dossier", "rank").join(facts.select("dossier", "fact_id", "statement").dropDuplicates(["dossier", "fact_id"]), "dossier")
-    sized = blocks.running(rows, ["question_id"], [F.col("rank"), F.col("dossier"), F.col("fact_id")], {"_upto": F.length("statement").cast("long")})
-    return sized.where(F.col("_upto") <= budget).select("question_id", "dossier", "rank", "fact_id", "statement")
+    begun = _beginnings(facts, budget)
+    totals = begun.groupBy("dossier").agg(F.max("_upto").alias("_total"))
+    before = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    left = chosen.join(totals, "dossier").withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).where(F.col("_before") <= budget)
+    met = left.select("question_id", "dossier", "rank", "_before").join(begun, "dossier").where(F.col("_before") + F.col("_upto") <= budget)
+    return met.select("question_id", "dossier", "rank", "fact_id", "statement")
 
 
 def capsule_coverage(rows: DataFrame, supporting: DataFrame) -> DataFrame:

@@ -152,13 +152,19 @@ def proj16_stable_items(spark, d):
     return capsules.stable_item(_evidence_facts(spark, d), sources)
 
 
+def _capsule_facts(spark, d):
+    """The evidence facts written with no more columns than capsules need; tokens are split on reading."""
+    facts = stage(_evidence_facts(spark, d).select("dossier", "fact_id", "subject_label", "statement"))
+    return facts.withColumn("tokens", F.split(F.lower("statement"), " "))
+
+
 def o7_matches(spark, d):
-    facts = stage(_evidence_facts(spark, d))
+    facts = _capsule_facts(spark, d)
     return capsules.matches(_questions(facts), facts, 3)
 
 
 def u8_capsules(spark, d):
-    facts = stage(_evidence_facts(spark, d))
+    facts = _capsule_facts(spark, d)
     return capsules.capsules(_questions(facts), facts, 3, 200).select("question_id", "dossier", "rank", "fact_id")
 
 

@@ -1,6 +1,7 @@
 """Tickets, guards, capsules and blocks on small fixtures."""
 
 import builtins
+import os
 import random
 import sys
 
@@ -229,3 +230,55 @@ def test_lines_of_triples_are_read_apart(spark, tmp_path):
     rows = rdf.ntriples(spark, str(tmp_path)).collect()
     assert sorted(r.object_value for r in rows if r.error is None) == ["http://c", "one"] and sum(r.error is not None for r in rows) == 1
     assert {r.entry_name for r in rows} == {"x.nt"}
+
+
+def _capsules_by_hand(questions, facts, top_k, budget):
+    """Every question against every dossier, fact by fact."""
+    held, sizes, said = {}, {}, {}
+    for dossier, fact, statement, tokens in facts:
+        held.setdefault(dossier, set()).update(tokens)
+        said.setdefault(dossier, {})[fact] = statement or ""
+    sizes = {d: len(f) for d, f in said.items()}
+    matched, capsule = set(), set()
+    for q, tokens in questions:
+        shared = [(-len(set(tokens) & held[d]), -sizes[d], d) for d in held if set(tokens) & held[d]]
+        spent = 0
+        for rank, (m, n, d) in enumerate(sorted(shared)[:top_k], 1):
+            matched.add((q, d, -m, -n, rank))
+            for fact in sorted(said[d]):
+                spent += len(said[d][fact])
+                if spent <= budget:
+                    capsule.add((q, d, rank, fact))
+    return matched, capsule
+
+
+def test_capsules_by_hand(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(9)]
+    facts = []
+    for i in range(300):
+        n = 0 if i % 23 == 0 else rng.randint(1, 3)
+        tokens = rng.choices(words, k=n)
+        facts.append(("big" if i % 4 == 0 else f"d{rng.randrange(40)}", f"f{i:03}", " ".join(tokens), tokens))
+    facts += facts[:20]
+    questions = [(f"q{i}", rng.choices(words + ["none"], k=rng.choice([0, 1, 2, 2, 3, 4, 8]))) for i in range(120)]
+    monkeypatch.setattr(capsules, "MOST_TOKENS", 4)
+    for paired in (16, 3):
+        monkeypatch.setattr(capsules, "MOST_PAIRED", paired)
+        q = spark.createDataFrame(questions, "question_id string, tokens array<string>")
+        f = spark.createDataFrame(facts, "dossier string, fact_id string, statement string, tokens array<string>")
+        matched, capsule = _capsules_by_hand(questions, facts, 3, 30)
+        rows = capsules.matches(q, f, 3).collect()
+        assert {tuple(r) for r in rows} == matched and len(rows) == len(matched)
+        rows = capsules.capsules(q, f, 3, 30).select("question_id", "dossier", "rank", "fact_id").collect()
+        assert {tuple(r) for r in rows} == capsule and len(rows) == len(capsule)
+
+
+def test_capsules_of_a_large_dossier(spark):
+    """Questions that all meet one dossier of many facts aren't multiplied by its facts, in any table that is written."""
+    facts = spark.range(400).selectExpr("'hot' AS dossier", "format_string('f%06d', id) AS fact_id", "'said of it' AS statement", "array('said', 'of', 'it') AS tokens")
+    questions = spark.range(1000).selectExpr("concat('q', id) AS question_id", "array('said', 'of') AS tokens")
+    runtime.drop_staged(spark)
+    assert capsules.capsules(questions, facts, 3, 25).count() == 2000
+    where = runtime._stage_dir(spark)
+    assert max(spark.read.parquet(f"{where}/{x}").count() for x in os.listdir(where)) <= 2000
