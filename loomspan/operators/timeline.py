@@ -176,11 +176,15 @@ def correction_problems(facts: DataFrame, edges: DataFrame) -> DataFrame:
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes on a directed cycle, of any length, with the length of the shortest one.
 
-    Nodes without an edge in and one out are peeled off until none is left.  Walks
-    then go on from every start by one edge at a time, over (start, end) pairs not
-    met before, and a start that has come back is done: each pair is met once.
+    Nodes without an edge in and one out are peeled off until none is left.  Each
+    node left is then searched from both sides: what it reaches in a steps and
+    what reaches it in b steps, at exactly these distances, meet first at a + b =
+    the length of its shortest cycle.  The sides take turns, so neither goes
+    further than half of a cycle; a node that is found, or has a side without
+    anything new, is done.
     """
-    edges = stage(edges.where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    edges = stage(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct())
     n_edges = edges.count()
     while n_edges:
         kept = edges
@@ -190,22 +194,26 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         before, n_edges, edges = n_edges, kept.count(), kept
         if n_edges == before:
             break
-    steps = edges.withColumnRenamed("src", "mid")
-    found: list[DataFrame] = []
-    met: list[DataFrame] = []
-    walk, length = edges, 1
+    ways = [("src", "dst"), ("dst", "src")]
+    steps = [edges.select(F.col(a).alias("at"), F.col(b).alias("next")) for a, b in ways]
+    found = [stage(edges.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("length")))]
+    sides = [stage(edges.select(F.col(a).alias("node"), F.col(b).alias("at")).join(found[0], "node", "left_anti")) for a, b in ways]
+    met = [[side] for side in sides]
+    length = 2
     while True:
-        back = stage(walk.where("src = dst").select(F.col("src").alias("node"), F.lit(length).alias("length")))
-        found = _few([*found, back])
-        met = _few([*met, walk])
-        going = walk.join(back.select(F.col("node").alias("src")), "src", "left_anti")
-        walk = going.withColumnRenamed("dst", "mid").join(steps, "mid").select("src", "dst").distinct()
-        for old in met:
-            walk = walk.join(old, ["src", "dst"], "left_anti")
-        walk = stage(walk)
-        if not walk.take(1):
-            break
+        found = _few([*found, stage(sides[0].join(sides[1], ["node", "at"], "left_semi").select("node").distinct().withColumn("length", F.lit(length)))])
         length += 1
+        turn = (length + 1) % 2
+        going = sides[turn].join(sides[1 - turn].select("node").distinct(), "node", "left_semi")
+        for old in found:
+            going = going.join(old, "node", "left_anti")
+        walk = going.join(steps[turn], "at").select("node", F.col("next").alias("at")).distinct()
+        for old in met[turn]:
+            walk = walk.join(old, ["node", "at"], "left_anti")
+        sides[turn] = stage(walk)
+        if not sides[turn].take(1):
+            break
+        met[turn] = _few([*met[turn], sides[turn]])
     return reduce(DataFrame.unionByName, found)
 
 

@@ -2,9 +2,11 @@
 
 import math
 import os
+import random
 
 import pytest
 
+from loomspan import runtime
 from loomspan.operators import timeline
 from loomspan.plans import evidence, facts, memory
 
@@ -53,3 +55,34 @@ def test_cycles_of_any_length(spark):
     facts_ = spark.createDataFrame([("e", "p", 11, i, "o", f"r{i}") for i in range(18)], "entity string, predicate string, precision int, position long, object string, fact_id string")
     edges = spark.createDataFrame([(a, b, "retracts") for a, b in ring], "fact_id string, target_id string, kind string")
     assert {(r.fact_id, r.problem) for r in timeline.correction_problems(facts_, edges).collect()} == {(f"r{i}", "cycle") for i in range(18)}
+
+
+def test_cycles_by_hand(spark):
+    rng = random.Random(8)
+    for n, m in ((40, 60), (60, 90), (25, 100)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        after = {}
+        for a, b in edges:
+            after.setdefault(a, set()).add(b)
+        want = {}
+        for v in range(n):
+            reached, length = set(after.get(v, ())), 1
+            seen = set(reached)
+            while reached and v not in reached:
+                reached = {y for x in reached for y in after.get(x, ())} - seen
+                seen |= reached
+                length += 1
+            if v in reached:
+                want[v] = length
+        rows = timeline.on_cycles(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()
+        assert len(rows) == len(want) and {r.node: r.length for r in rows} == want
+
+
+def test_cycles_meet_half_way(spark):
+    """No table that is written holds a fifth of the pairs of start and end."""
+    rng, n = random.Random(9), 1000
+    edges = [(i, rng.randrange(n)) for i in range(n) for _ in range(5)]
+    runtime.drop_staged(spark)
+    assert timeline.on_cycles(spark.createDataFrame(edges, "src long, dst long")).count() > 0.9 * n
+    where = runtime._stage_dir(spark)
+    assert max(spark.read.parquet(f"{where}/{x}").count() for x in os.listdir(where)) < 0.2 * n * n
