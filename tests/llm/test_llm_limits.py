@@ -102,3 +102,20 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
     rows += [(9000 + 3 * i + copy, None, text, "en", "s") for i in range(20) for text in [sentence() + " " + sentence()[: rng.randrange(6, 34)]] for copy in range(3)]
     got = {r.doc_id for r in truncation.cut_texts(spark.createDataFrame(rows, "doc_id long, title string, text string, lang string, source string")).where("cut").collect()}
     assert len([x for x in got if x >= 9000]) >= 57 and not [x for x in got if x < 9000]
+
+
+def test_filter_comes_in_pieces(spark, monkeypatch):
+    """The driver gets pieces of a filter, not a row for each word, and every bit is where it was."""
+    places = spark.range(40_000).selectExpr("id * 7919 % 4194304 AS at").unionByName(spark.createDataFrame([(0,), (4194303,)], "at long"))
+
+    def refuse(*_):
+        raise AssertionError("the whole table at once")
+
+    for name in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(type(places), name, refuse)
+    want = np.zeros(4194304, dtype=bool)
+    want[np.arange(40_000) * 7919 % 4194304] = True
+    want[[0, 4194303]] = True
+    table = bitfilter.build(places, 4194304)
+    assert (bitfilter.inside(table, np.arange(4194304, dtype=np.uint64)) == want).all()
+    assert len(bitfilter.build(places.where("at < 0"), 65536)) == 8192
